@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casemill.llm import license_scan, quality_classifier, quality_rules, simhash_neardup, toxicity
+from casemill.llm import decontamination, license_scan, packing, quality_classifier, quality_rules, simhash_neardup, toxicity
 from casemill.llm.common import load
 
 
@@ -35,11 +36,21 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.grade(docs, quality_classifier.train(docs, load(spark, sf_dir, "labels")))
 
 
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(load(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contained(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
+    "op3_best_fit_packing": op3_best_fit_packing,
     "op4_simhash_neardup": op4_simhash_neardup,
     "op5_license_scan": op5_license_scan,
     "op6_toxicity": op6_toxicity,
+    "op8_decontamination": op8_decontamination,
     "op10_quality_classifier": op10_quality_classifier,
 }
 
