@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casemill.llm import decontamination, license_scan, line_dedup, packing, quality_classifier, quality_rules, simhash_neardup, toxicity
+from casemill.llm import decontamination, license_scan, line_dedup, packing, quality_classifier, quality_rules, sharding, simhash_neardup, toxicity
 from casemill.llm.common import load
 
 
@@ -44,6 +44,11 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(load(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sharding.assign(load(spark, sf_dir, "documents"))
+    return found.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contained(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
 
@@ -55,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_simhash_neardup": op4_simhash_neardup,
     "op5_license_scan": op5_license_scan,
     "op6_toxicity": op6_toxicity,
+    "op7_sharding": op7_sharding,
     "op8_decontamination": op8_decontamination,
     "op10_quality_classifier": op10_quality_classifier,
 }
