@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casemill.llm import decontamination, license_scan, line_dedup, packing, quality_classifier, quality_rules, sharding, simhash_neardup, toxicity
+from casemill.llm import decontamination, html_extraction, license_scan, line_dedup, packing, quality_classifier, quality_rules, sharding, simhash_neardup, toxicity
 from casemill.llm.common import load
 
 
@@ -35,6 +35,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, load(spark, sf_dir, "labels")))
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.extract(load(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
     return quality_classifier.grade(docs, quality_classifier.train(docs, load(spark, sf_dir, "labels")))
@@ -62,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_toxicity": op6_toxicity,
     "op7_sharding": op7_sharding,
     "op8_decontamination": op8_decontamination,
+    "op9_html_extraction": op9_html_extraction,
     "op10_quality_classifier": op10_quality_classifier,
 }
 
