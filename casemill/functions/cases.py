@@ -199,6 +199,17 @@ def json_in_text(c: Column | str, schema: str) -> Column:
     return F.coalesce(F.from_json(present(F.regexp_extract(col(c), "(?s)\\[.*\\]", 0)), f"array<{schema}>"), F.array().cast(f"array<{schema}>"))
 
 
+def csv_row(*columns: Column | str, cleaned: tuple[str, ...] = ()) -> Column:
+    """Values joined by commas, nulls empty; in cleaned columns commas become semicolons and line feeds blanks."""
+    out = []
+    for c in columns:
+        value = col(c).cast("string")
+        if isinstance(c, str) and c in cleaned:
+            value = F.replace(F.replace(value, F.lit(","), F.lit(";")), F.lit("\n"), F.lit(" "))
+        out.append(F.coalesce(value, F.lit("")))
+    return F.concat_ws(",", *out)
+
+
 def uniform(key: Column | str, seed: int) -> Column:
     """A number in [0, 1) drawn from a key and a seed: the same in every run, engine and partitioning."""
     digest = F.substring(F.md5(F.concat(col(key).cast("string"), F.lit(f"|{seed}")).cast("binary")), 1, 12)

@@ -51,7 +51,8 @@ def pairs(df: DataFrame, key: str, columns: list[str], blocks: int = 16) -> Data
     block = F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")
     rows = df.select(key, *columns, block.alias("_own"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_other"))
     tile = rows.withColumn("_tile", F.least("_own", "_other") * blocks + F.greatest("_own", "_other"))
-    left = tile.select("_tile", *[F.col(c).alias(f"{c}_a") for c in (key, *columns)])
-    right = tile.select("_tile", *[F.col(c).alias(f"{c}_b") for c in (key, *columns)])
-    # In a tile of two blocks both orders meet; in a block's own tile every order does.
-    return left.join(right, "_tile").where(F.col(f"{key}_a") < F.col(f"{key}_b")).drop("_tile")
+    left = tile.select("_tile", F.col("_own").alias("_own_a"), *[F.col(c).alias(f"{c}_a") for c in (key, *columns)])
+    right = tile.select("_tile", F.col("_own").alias("_own_b"), *[F.col(c).alias(f"{c}_b") for c in (key, *columns)])
+    # A tile of two blocks holds only pairs of one row from each.
+    own = F.least("_own_a", "_own_b") * blocks + F.greatest("_own_a", "_own_b") == F.col("_tile")
+    return left.join(right, "_tile").where(own & (F.col(f"{key}_a") < F.col(f"{key}_b"))).drop("_tile", "_own_a", "_own_b")

@@ -27,8 +27,9 @@ def patched(df: DataFrame, patch: DataFrame, key: str, allowed: list[str]) -> Da
 def upserted(df: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """Rows of both sides; where both have a key, the new row's values that are not null."""
     old = df.select(F.col(key).alias("_key"), *[F.col(c).alias(f"_old_{c}") for c in df.columns])
-    joined = old.join(new, old["_key"] == new[key], "full_outer")
-    return joined.select(*[F.coalesce(new[c], F.col(f"_old_{c}")).alias(c) if c in new.columns else F.col(f"_old_{c}").alias(c) for c in df.columns])
+    fresh = new.select(*[F.col(c).alias(f"_new_{c}") for c in new.columns])
+    joined = old.join(fresh, F.col("_key") == F.col(f"_new_{key}"), "full_outer")
+    return joined.select(*[F.coalesce(f"_new_{c}", f"_old_{c}").alias(c) if c in new.columns else F.col(f"_old_{c}").alias(c) for c in df.columns])
 
 
 def inserted(df: DataFrame, new: DataFrame, key: str) -> DataFrame:

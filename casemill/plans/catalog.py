@@ -1,10 +1,6 @@
-"""Named queries and the SQL that must give the same rows."""
+"""All named queries; importing their modules registers them."""
 
-from __future__ import annotations
+from casemill.plans import curation, evaluation, listing, scoring, sets, texts  # noqa: F401
+from casemill.plans.registry import ORACLE_SQL, QUERIES
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]

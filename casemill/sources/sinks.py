@@ -66,17 +66,6 @@ def export_annotated(q: DataFrame, for_eval: bool = False) -> DataFrame:
     return q.select(*shape, *answers) if for_eval else q.select(*shape, F.col("groundTruth"), *answers, F.col("wiseRefusal"), F.col("explanation"))
 
 
-def csv_line(*columns: Column | str, cleaned: tuple[str, ...] = ()) -> Column:
-    """Values joined by commas, nulls empty; in cleaned columns commas become semicolons and line feeds blanks."""
-    out = []
-    for c in columns:
-        value = cases.col(c).cast("string")
-        if isinstance(c, str) and c in cleaned:
-            value = F.replace(F.replace(value, F.lit(","), F.lit(";")), F.lit("\n"), F.lit(" "))
-        out.append(F.coalesce(value, F.lit("")))
-    return F.concat_ws(",", *out)
-
-
 def request_lines(df: DataFrame, key: str, prompt: Column, model: str, **options: object) -> DataFrame:
     """One JSON request a row, keyed by custom_id."""
     message = F.array(F.struct(F.lit("user").alias("role"), prompt.alias("content")))
