@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import os
+import re
+import struct
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 from math import ceil
+from unicodedata import is_normalized
 
 import numpy as np
 import pandas as pd
@@ -25,40 +28,74 @@ NEIGHBOURS = 256
 #: Bins with more free places than this are opened again and packed with those of other parts.
 SLACK = 16
 #: Distinct chunks whose ids a task remembers, and the longest that it remembers.
-CACHE_CHUNKS, CACHE_CHARS = 400_000, 64
+CACHE_CHUNKS, CACHE_CHARS = 800_000, 64
+
+#: A comma or dot that ends a chunk after a letter.
+_POINT = re.compile(rb"([a-z])([,.])\s")
+
+
+class ChunkIds(dict):
+    """Little-endian ids of blank-separated chunks, each encoded once while it is remembered."""
+
+    def __init__(self, tokenizer: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        super().__init__()
+        self.model = Tokenizer.from_file(tokenizer)
+        # Byte-level vocabularies write a byte as a character: printable ones as themselves, others from 256 on.
+        own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        others = [b for b in range(256) if b not in own]
+        self.written = dict(zip(own, map(chr, own), strict=True)) | {b: chr(256 + i) for i, b in enumerate(others)}
+        self.tokenize = self.model.model.tokenize
+        self.letters = all(self._word(x) == self._any(x) for x in ("the", "wordlike", "\u00e9t\u00e9", "stra\u00dfe", "\u4e2d\u6587", "\u043c\u0438\u0440"))
+
+    def _any(self, text: str) -> bytes:
+        ids = self.model.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _word(self, word: str) -> bytes:
+        """Ids of a lower-case word of letters in composed form, from the vocabulary's merges alone."""
+        mapped = word if word.isascii() else word.encode().decode("latin-1").translate(self.written)
+        ids = [x.id for x in self.tokenize(mapped)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def __missing__(self, chunk: bytes) -> bytes:
+        word = chunk.decode("utf-8", "replace")
+        plain = self.letters and word.isalpha() and word == word.lower() and is_normalized("NFC", word)
+        found = self._word(word) if plain else self._any(word)
+        if len(chunk) <= CACHE_CHARS:
+            if len(self) >= CACHE_CHUNKS:
+                self.clear()
+            self[chunk] = found
+        return found
+
+    def ids(self, text: str) -> bytes:
+        """Ids of a whole text.
+
+        Blanks never join tokens, capitals of ASCII are lower-cased by the tokenizer too, and a comma or dot after a
+        letter is a token of its own: so the ids are those of the chunks in turn.
+        """
+        chunks = _POINT.sub(rb"\1 \2 ", text.encode("utf-8", "replace").lower()).split()
+        return b"".join(map(self.__getitem__, chunks))
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every piece of every row of docs; null texts count as empty.
 
-    Blanks never join tokens of the word-level vocabulary, so a text's ids are those of its blank-separated chunks
-    in turn; a chunk that came before is not encoded again.
+    The tokenizer is one of lower-case words without blanks, and its file is read where the tasks run.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        model, known = Tokenizer.from_file(tokenizer), {"": b""}
-        as_bytes = lambda ids: np.array(ids, "<u4").tobytes()
+        coder, end = ChunkIds(tokenizer), np.array([END_ID], "<u4").tobytes()
         for batch in batches:
             out: dict[str, list] = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32")}
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                chunks = (text or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-                new = [x for x in set(chunks) if x not in known]
-                if len(known) + len(new) > CACHE_CHUNKS:
-                    known = {"": b""}
-                    new = [x for x in set(chunks) if x]
-                own = known
-                if new:
-                    coded = {x: as_bytes(e.ids) for x, e in zip(new, model.encode_batch_fast(new, add_special_tokens=False), strict=True)}
-                    known.update((k, v) for k, v in coded.items() if len(k) <= CACHE_CHARS)
-                    own = known if len(coded) == sum(len(k) <= CACHE_CHARS for k in coded) else known | coded
-                ids = b"".join([own[x] for x in chunks]) + as_bytes([END_ID])
+                ids = coder.ids(text or "") + end
                 n = len(ids) // 4
                 for i, start in enumerate(range(0, n, capacity)):
-                    end = min(n, start + capacity)
-                    for k, v in zip(out, (doc_id, i, start, end - start, zlib.crc32(ids[4 * start : 4 * end])), strict=True):
+                    stop = min(n, start + capacity)
+                    for k, v in zip(out, (doc_id, i, start, stop - start, zlib.crc32(ids[4 * start : 4 * stop])), strict=True):
                         out[k].append(v)
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=list(out))
 
