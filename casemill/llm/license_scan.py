@@ -37,7 +37,9 @@ TEMPLATES = [
     ("unlicense", "this is free and unencumbered software released into the public domain"),
 ]
 
-SPLIT = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
+#: ASCII other than lower-case letters and digits, character by character: Java looks such a class up in one table,
+#: while it asks each range of a class in turn.
+SPLIT = "[" + "".join(f"\\x{c:02x}" for c in range(128) if not (48 <= c <= 57 or 97 <= c <= 122)) + "]+"
 
 
 def words_of(text: Column) -> Column:

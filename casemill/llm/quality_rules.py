@@ -22,6 +22,7 @@ STOP_WORDS = (
     "der die das und den von zu mit ist ein eine nicht im dem auf sich des für als auch "
     "el los las y del por con no una su para es al lo como más o pero"
 ).split()
+STOP_WORDS = list(dict.fromkeys(STOP_WORDS))
 
 #: Base limits that come before the table: fewest words, greatest share of repeated words in percent.
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
