@@ -120,7 +120,7 @@ def case_numbering(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("number", "o_orderkey", F.concat(F.lit("T3-BucketLarge-G-"), F.col("number").cast("string"), F.lit(".1")).alias("case_id"))
 
 
-@query("SELECT o_orderkey, count(l_orderkey)::INTEGER AS n_children, coalesce(min(l_linenumber), 0) AS first_line, coalesce(string_agg(l_linenumber || ':' || l_returnflag, ',' ORDER BY l_linenumber), '') AS lines FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1")
+@query("SELECT o_orderkey, count(l_orderkey)::INTEGER AS n_children, coalesce(min(l_linenumber), 0) AS first_line, coalesce(string_agg(l_linenumber || ':' || l_returnflag, ',' ORDER BY l_linenumber, l_returnflag), '') AS lines FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1")
 def nested_children(spark: SparkSession, d: str) -> DataFrame:
     items = table(spark, d, "lineitem", F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", "l_returnflag")
     tree = J.nested(table(spark, d, "orders", "o_orderkey"), items, "o_orderkey", ["l_linenumber"])
