@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from casemill.llm.common import map_batches
 
 #: Most labelled rows of each class or grade that a fit uses: a fixed bound, taken in the order of a hash of doc_id.
-ROWS_PER_LABEL = 1500
+ROWS_PER_LABEL = 1000
 
 #: Classes or grades that are told apart at most; the rating scale's length, not data.
 MOST_GRADES = 20
@@ -45,20 +45,35 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, features: C
 
 
 class Design:
-    """Rows of distinct buckets, each row scaled to length one after weighting by a value per bucket."""
+    """Rows of distinct buckets, each row scaled to length one after weighting by a value per bucket.
+
+    Products go over a block of entries at a time, so that they need little memory beside the entries.
+    """
+
+    BLOCK = 1 << 19
 
     def __init__(self, rows: list[np.ndarray], scale: np.ndarray) -> None:
-        sizes = np.array([len(x) for x in rows])
+        sizes = np.array([len(x) for x in rows], np.int32)
         self.n, self.width = len(rows), len(scale)
         self.at = np.concatenate(rows) if len(rows) else np.empty(0, np.int32)
         self.row = np.repeat(np.arange(self.n, dtype=np.int32), sizes)
-        self.value = (scale[self.at] / np.sqrt(np.maximum(sizes, 1))[self.row]).astype(np.float32)
+        self.value = scale.astype(np.float32)[self.at]
+        self.value /= np.sqrt(np.maximum(sizes, 1)).astype(np.float32)[self.row]
+
+    def _blocks(self) -> list[slice]:
+        return [slice(i, i + self.BLOCK) for i in range(0, len(self.at), self.BLOCK)]
 
     def dot(self, w: np.ndarray) -> np.ndarray:
-        return np.bincount(self.row, self.value * w[self.at], self.n)
+        out = np.zeros(self.n)
+        for s in self._blocks():
+            out += np.bincount(self.row[s], self.value[s] * w[self.at[s]], self.n)
+        return out
 
     def back(self, e: np.ndarray) -> np.ndarray:
-        return np.bincount(self.at, self.value * e.astype(np.float32)[self.row], self.width)
+        out = np.zeros(self.width)
+        for s in self._blocks():
+            out += np.bincount(self.at[s], self.value[s] * e[self.row[s]], self.width)
+        return out
 
 
 def adam(gradient: Callable[[np.ndarray], np.ndarray], start: np.ndarray, steps: int, rate: float) -> np.ndarray:

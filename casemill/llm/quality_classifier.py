@@ -66,7 +66,10 @@ def fit(x: list[np.ndarray], y: np.ndarray, width: int = WIDTH) -> Model:
         return Model(np.zeros(width, np.float32), np.empty(0), grades)
     rank, k = np.searchsorted(grades, y), len(grades) - 1
     # Common buckets say little: scale by the root of their inverse share of rows.
-    scale = np.sqrt(np.log1p(len(x) / (1.0 + np.bincount(np.concatenate(x), minlength=width))))
+    seen = np.ones(width)
+    for row in x:
+        seen[row] += 1
+    scale = np.sqrt(np.log1p(len(x) / seen))
     design, weight = Design(x, scale), 1.0 / (len(grades) * np.bincount(rank)[rank])
     above = (rank[:, None] > np.arange(k)).astype(float)
 

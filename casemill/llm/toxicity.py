@@ -36,7 +36,9 @@ def log_count_ratios(rows: list[np.ndarray], y: np.ndarray, bits: int = BITS) ->
     both = []
     for label in (1, 0):
         own = [x for x, v in zip(rows, y, strict=True) if v == label]
-        counts = np.bincount(np.concatenate(own), minlength=1 << bits) if own else np.zeros(1 << bits)
+        counts = np.zeros(1 << bits)
+        for x in own:  # a row's buckets are distinct
+            counts[x] += 1
         both.append((counts + 1.0) / (len(own) + 2.0))
     return np.log(both[0] / both[1])
 
