@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import casemill
@@ -64,6 +64,15 @@ def map_batches(df: DataFrame, each: Callable[[pa.RecordBatch], pa.RecordBatch |
     return df.mapInArrow(run, schema)
 
 
+def computed(value: Column) -> Column:
+    """value as a column of its own, worked out once a row.
+
+    Spark may copy a projected expression into the lambda functions of a later projection and work it out for every
+    element there; it doesn't do so through a generator.
+    """
+    return F.explode(F.array(value))
+
+
 def table_path(sf_dir: str, name: str) -> str:
     return f"{sf_dir}/{name}.parquet"
 

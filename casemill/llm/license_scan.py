@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from casemill.llm.common import computed
+
 #: Words of a k-gram.
 K = 4
 #: Diagonals this far apart belong to one span (words put in or left out).
@@ -77,7 +79,7 @@ def spans(docs: DataFrame) -> DataFrame:
     shuffle's rows are compared; diagonals up to DIAGONAL_GAP apart whose places are near are merged; a span is
     verified by counting the template's words that stand in it, in place, and the words of the text it needs.
     """
-    words = docs.select("doc_id", words_of(F.col("text")).alias("words"))
+    words = docs.select("doc_id", computed(words_of(F.col("text"))).alias("words"))
     placed = words.select("doc_id", F.posexplode(grams(F.col("words"))).alias("pos", "h"))
     votes = placed.join(F.broadcast(template_grams(docs.sparkSession)), "h").withColumn("diagonal", F.col("pos") - F.col("tpos"))
     # One row per diagonal and block of the text, so that a text that repeats a notice a million times gathers no long list.
@@ -124,7 +126,7 @@ def scan(docs: DataFrame) -> DataFrame:
     best coverage of a verified span, else 0.
     """
     n = len(PHRASES)
-    words = docs.select("doc_id", words_of(F.col("text")).alias("words"))
+    words = docs.select("doc_id", computed(words_of(F.col("text"))).alias("words"))
     hit = words.select("doc_id", F.size("words").cast("long").alias("n_words"), base_hits(F.col("words")).alias("hits"))
     label = F.array(*[F.lit(x) for _, x in PHRASES])
     places = hit.select(

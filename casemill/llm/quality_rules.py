@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from casemill.llm.common import computed
+
 #: Rules a kept text meets: metric, least value, greatest value (None: no bound).
 RULES: list[tuple[str, float | None, float | None]] = [
     ("mean_word_length", 2.5, 12.0),
@@ -40,7 +42,8 @@ def metrics(docs: DataFrame) -> DataFrame:
     bare = F.regexp_replace(text, SPACE, "")
     words = F.array_remove(F.split(text, f"{SPACE}+"), "")
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
-    found = docs.select("doc_id", words.alias("words"), lines.alias("lines"), F.length(bare).cast("long").alias("word_chars"), (F.length(bare) - F.length(F.regexp_replace(bare, "[#*$%&|<>]", ""))).cast("long").alias("n_symbols"))
+    parts = F.struct(words.alias("words"), lines.alias("lines"))
+    found = docs.select("doc_id", "text", computed(parts).alias("parts")).select("doc_id", F.col("parts.words").alias("words"), F.col("parts.lines").alias("lines"), F.length(bare).cast("long").alias("word_chars"), (F.length(bare) - F.length(F.regexp_replace(bare, "[#*$%&|<>]", ""))).cast("long").alias("n_symbols"))
     w = F.col("words")
     windows = F.transform(F.slice(w, 1, F.greatest(F.size(w) - 2, F.lit(0))), lambda x, i: F.struct(F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)).alias("h"), i.alias("p")))
     stops = F.filter(w, lambda x: x.isin(STOP_WORDS))
@@ -54,7 +57,7 @@ def metrics(docs: DataFrame) -> DataFrame:
         F.size(stops).cast("long").alias("n_stop_words"),
         F.size(F.filter("lines", lambda x: x.rlike("^\\s*[-*•]"))).cast("long").alias("n_bullet_lines"),
         F.size(F.filter("lines", lambda x: x.rlike("(\\.\\.\\.|…)\\s*$"))).cast("long").alias("n_ellipsis_lines"),
-        F.sort_array(windows).alias("windows"),
+        computed(F.sort_array(windows)).alias("windows"),
     )
     s = F.col("windows")
     again = F.filter(s, lambda x, i: (x["h"] == F.get(s, i - 1)["h"]) | (x["h"] == F.get(s, i + 1)["h"]))

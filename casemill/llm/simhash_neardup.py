@@ -131,10 +131,12 @@ def links(points: DataFrame, budget: int = BUDGET) -> DataFrame:
     The trie's top is shared out by Spark: of budget + 1 blocks of bits at least one is equal in a linked pair,
     so each block in turn leads the bits, and every value of it is one trie in one task. A block value with
     more than TRIE_ROWS fingerprints is split into chunks; every pair of chunks is joined, each in its own group.
-    A task returns a spanning forest, never all pairs.
+    A task returns a spanning forest, never all pairs. budget: 15 at most.
     """
+    if budget == 0:  # points are distinct
+        return points.where(F.lit(False)).select(F.col("id").alias("a"), F.col("id").alias("b"))
     edges = [round(64 * i / (budget + 1)) for i in range(budget + 2)]
-    blocks = [F.shiftrightunsigned(F.col("fp"), lo).bitwiseAND((1 << (hi - lo)) - 1) + F.lit(i << 58 if budget < 16 else 0) for i, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False))]
+    blocks = [F.shiftrightunsigned(F.col("fp"), lo).bitwiseAND((1 << (hi - lo)) - 1) + F.lit(i << 58) for i, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False))]
     keyed = points.select("id", "fp", F.explode(F.array(*blocks)).alias("key"))
     large = keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > TRIE_ROWS)
     chunks = F.ceil(F.coalesce(F.col("n"), F.lit(1)) / F.lit(TRIE_ROWS)).cast("int")
