@@ -159,4 +159,4 @@ def contained(docs: DataFrame, items: DataFrame, least: float = CONTAINMENT) ->
 def drop_contaminated(docs: DataFrame, items: DataFrame, least: float = CONTAINMENT) -> DataFrame:
     """The rows of docs that contain no item, columns unchanged; rows with a null doc_id are judged together."""
     bad = contained(docs, items, least).select(F.col("doc_id").alias("bad_id")).distinct()
-    return docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(F.col("bad_id")), "left_anti")
+    return docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(bad["bad_id"]), "left_anti")
