@@ -6,12 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def numbered(df: DataFrame, order: list[Column], name: str = "number", buckets: int = 64) -> DataFrame:
+def numbered(df: DataFrame, order: list[Column], name: str = "number", buckets: int | None = None) -> DataFrame:
     """Rows numbered from 1 in a total order, without one task that holds them all.
 
     Rows are range-partitioned by the order and cut there; each partition is numbered by itself and moved by the
-    count of those before it. The order must be unique.
+    count of those before it. The order must be unique. buckets: the session's shuffle partitions if not given.
     """
+    buckets = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = df.repartitionByRange(buckets, *order).withColumn("_part", F.spark_partition_id())
     ranged = ranged.persist()
     counts = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
