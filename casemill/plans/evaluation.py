@@ -9,9 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casemill.functions.cases import accuracy, half_up
+from casemill.functions.cases import accuracy, half_up, progress, remaining
 from casemill.operators import aggregates as A
 from casemill.operators import joins as J
+from casemill.operators.mutations import counted
 from casemill.plans.registry import query
 from casemill.sources.readers import table
 
@@ -196,9 +197,6 @@ def acceptance_by_author(spark: SparkSession, d: str) -> DataFrame:
 @query("""SELECT o_orderkey, count(l_orderkey) AS done, floor(least(100.0, 100.0 * count(l_orderkey) / 7) + 0.5)::BIGINT AS percent, greatest(0, 7 - count(l_orderkey)) AS remaining
  FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1""")
 def progress_pct(spark: SparkSession, d: str) -> DataFrame:
-    from casemill.functions.cases import progress, remaining
-    from casemill.operators.mutations import counted
-
     orders = table(spark, d, "orders", "o_orderkey")
     items = table(spark, d, "lineitem", F.col("l_orderkey").alias("o_orderkey"))
     done = counted(orders, items, "o_orderkey", done=F.lit(True))
