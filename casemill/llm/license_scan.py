@@ -122,10 +122,11 @@ def scan(docs: DataFrame) -> DataFrame:
     """One row per row of docs: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, n_spans.
 
     Null and empty texts have no words, no labels and score 0; columns of docs other than doc_id and text are
-    dropped; rows that repeat a doc_id share the labels of that id's spans. score is 1 with a phrase, else the
+    dropped; spans belong to the doc_id and its text, whether the doc_id is null or repeated. score is 1 with a phrase, else the
     best coverage of a verified span, else 0.
     """
     n = len(PHRASES)
+    docs = docs.select(F.struct("doc_id", F.xxhash64("text").alias("h")).alias("doc_id"), "text")
     words = docs.select("doc_id", computed(words_of(F.col("text"))).alias("words"))
     hit = words.select("doc_id", F.size("words").cast("long").alias("n_words"), base_hits(F.col("words")).alias("hits"))
     label = F.array(*[F.lit(x) for _, x in PHRASES])
@@ -141,7 +142,7 @@ def scan(docs: DataFrame) -> DataFrame:
     joined = places.join(own, "doc_id", "left")
     every = F.array_union("base", F.coalesce("own", F.array().cast("array<string>")))
     return joined.select(
-        "doc_id",
+        "doc_id.doc_id",
         "n_words",
         "n_base",
         "first_word",

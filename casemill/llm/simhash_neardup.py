@@ -173,14 +173,26 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, budget: int = BUDGE
     gives an empty result.
     """
     marked = cut(fingerprints(docs, shingle), "fingerprints")
-    points = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("id")), "points")
-    edges = cut(links(points.where(F.col("id").isNotNull()), budget), "links")
-    rooted = components(edges, "neardup")
-    label = points.join(rooted, points["id"] == rooted["node"], "left").select("fp", F.coalesce("root", "id").alias("component_id"))
-    return marked.join(label, "fp").select("doc_id", "fp", "component_id")
+    label = _roots(marked, budget)
+    least = marked.groupBy("fp").agg(F.min("doc_id").alias("id")).join(label, "fp").groupBy("root").agg(F.min("id").alias("component_id"))
+    return marked.join(label.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+
+
+def _roots(marked: DataFrame, budget: int) -> DataFrame:
+    """fp and the smallest fingerprint of its component, for every fingerprint of marked, with an id or without."""
+    points = cut(marked.select("fp").distinct(), "points")
+    rooted = components(cut(links(points.select("fp", F.col("fp").alias("id")), budget), "links"), "neardup")
+    return cut(points.join(rooted, points["fp"] == rooted["node"], "left").select("fp", F.coalesce("root", "fp").alias("root")), "roots")
 
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, budget: int = BUDGET) -> DataFrame:
-    """The rows of docs whose doc_id is the smallest of its component, columns unchanged."""
-    kept = near_duplicates(docs, shingle, budget).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+    """One row of docs of each component, the one of the smallest doc_id, nulls last; columns unchanged.
+
+    Rows are told apart though they share an id or have none.
+    """
+    rows = cut(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.monotonically_increasing_id().alias("at")), "neardup-rows")
+    marked = cut(fingerprints(rows.select(F.col("at").alias("doc_id"), "row.text"), shingle), "fingerprints")
+    ids = rows.select("at", F.col("row.doc_id").cast("long").alias("id"))
+    placed = marked.join(_roots(marked, budget), "fp").select(F.col("doc_id").alias("at"), "root").join(ids, "at")
+    kept = placed.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "at")).alias("best")).select("best.at")
+    return rows.join(kept, "at", "left_semi").select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])

@@ -103,3 +103,10 @@ def test_awkward_licences(spark):
     for x in rows:
         if x["doc_id"] is not None:
             assert (x["n_words"], x["n_base"]) == slow_base(texts[x["doc_id"]])[:2]
+
+
+def test_license_rows_under_null_and_shared_ids(spark):
+    texts = ["x redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "nothing of the kind here"]
+    docs = spark.createDataFrame([(i, t) for i in (None, 7) for t in texts], "doc_id long, text string")
+    got = sorted((str(x["doc_id"]), x["n_words"], x["labels"], x["n_spans"]) for x in L.scan(docs).collect())
+    assert got == [("7", 5, "", 0), ("7", 22, "bsd", 1), ("None", 5, "", 0), ("None", 22, "bsd", 1)]

@@ -80,3 +80,17 @@ def test_keep_one(spark):
     assert S.keep_one(empty(spark)).count() == 0
     same = documents(spark, [prose(7, 90)] * 5)
     assert [x["doc_id"] for x in S.keep_one(same).collect()] == [0]
+
+
+def test_rows_under_null_and_shared_ids(spark):
+    a, b, c, d = (prose(60 + i, 90) for i in range(4))
+    rows = [(None, a), (None, b), (1, c), (1, c), (1, d), (None, c)]
+    docs = spark.createDataFrame([(*x, i) for i, x in enumerate(rows)], "doc_id long, text string, n int")
+    kept = sorted(x["n"] for x in S.keep_one(docs).collect())
+    assert len(kept) == 4 and {0, 1, 4} < set(kept) and len({2, 3} & set(kept)) == 1
+
+
+def test_chain_over_a_null_id(spark, monkeypatch):
+    fps = {"x": 0, "y": 0b1111, "z": 0b11111111}
+    monkeypatch.setattr(S, "fingerprints", lambda docs, shingle: spark.createDataFrame([(1, fps["x"]), (None, fps["y"]), (2, fps["z"])], "doc_id long, fp long"))
+    assert [x["component_id"] for x in S.near_duplicates(documents(spark, ["x"])).collect()] == [1, 1, 1]
