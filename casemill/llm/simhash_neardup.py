@@ -20,6 +20,15 @@ TRIE_ROWS = 2048
 #: Fingerprints that one call of the traversal holds, of as many tries as fit.
 TASK_ROWS = 16384
 
+#: Words of a shingle, and least Jaccard similarity in fifths, of near copies that keep_one() finds beside the budget.
+COPY_SHINGLE = 5
+FIFTHS = 4
+#: Bands of MinHash values and values in a band: a similarity of 0.8 is missed with (1 - 0.8 ** 4) ** 24, 3 in a million.
+BANDS = 24
+BAND_ROWS = 4
+
+_FACTORS = np.random.Generator(np.random.PCG64(SEED)).integers(1, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     """Majority bits of the XXH64 values of a text's word shingles; 0 for a text without words or null."""
@@ -185,14 +194,74 @@ def _roots(marked: DataFrame, budget: int) -> DataFrame:
     return cut(points.join(rooted, points["fp"] == rooted["node"], "left").select("fp", F.coalesce("root", "fp").alias("root")), "roots")
 
 
+def shingles(text: str | None, shingle: int = COPY_SHINGLE) -> np.ndarray:
+    """Distinct 64-bit hashes of a text's word shingles, sorted; one shorter shingle of a text of fewer words."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    hashes = np.array([xxhash.xxh64_intdigest(w, SEED) for w in words], np.uint64)
+    size = min(shingle, len(words))
+    if not size:
+        return hashes
+    rolled = np.zeros(len(words) - size + 1, np.uint64)
+    for i in range(size):
+        rolled = (rolled ^ (rolled >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + hashes[i : len(hashes) - size + 1 + i]
+    rolled = (rolled ^ (rolled >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return np.unique(rolled ^ (rolled >> np.uint64(32)))
+
+
+def bands(text: str | None) -> np.ndarray:
+    """A hash of each band of a text's MinHash values; none of a text without words."""
+    found = shingles(text)
+    if not len(found):
+        return np.empty(0, np.int64)
+    least = np.full(len(_FACTORS), np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(found), 4096):
+        np.minimum(least, (found[at : at + 4096, None] * _FACTORS).min(0), out=least)
+    rows = np.ascontiguousarray(least.reshape(BANDS, BAND_ROWS))
+    return np.array([xxhash.xxh64_intdigest(row.tobytes(), i) for i, row in enumerate(rows)], np.uint64).view(np.int64)
+
+
+def alike(a: str | None, b: str | None) -> bool:
+    """Whether two texts' shingles have a Jaccard similarity of FIFTHS / 5 or more."""
+    x, y = shingles(a), shingles(b)
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both > 0 and 5 * both >= FIFTHS * (len(x) + len(y) - both)
+
+
+def copies(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """Edges (a, b) between the roots of texts that are alike though of different roots; rows: at, text; known: at, root."""
+
+    def banded(batch: pa.RecordBatch) -> pa.RecordBatch:
+        keys = [bands(x) for x in batch.column(1).to_pylist()]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.list_(pa.int64()))], names=["at", "keys"])
+
+    def verified(batch: pa.RecordBatch) -> pa.RecordBatch:
+        ok = [alike(x, y) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok))
+
+    found = map_batches(rows, banded, "at long, keys array<bigint>").join(known, "at").select("at", "root", F.explode("keys").alias("key"))
+    found = cut(found, "copy-bands")
+    other = found.select("key", F.col("root").alias("rb"), F.col("at").alias("b"))
+    pairs = found.select("key", F.col("root").alias("ra"), F.col("at").alias("a")).join(other, "key").where(F.col("ra") < F.col("rb")).select("ra", "rb", "a", "b").distinct()
+    text = lambda at, name: rows.select(F.col("at").alias(at), F.col("text").alias(name))
+    both = cut(pairs, "copy-pairs").join(text("a", "ta"), "a").join(text("b", "tb"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"), "ta", "tb")
+    return map_batches(both, verified, "a long, b long").distinct()
+
+
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, budget: int = BUDGET) -> DataFrame:
     """One row of docs of each component, the one of the smallest doc_id, nulls last; columns unchanged.
 
+    Links are at most budget differing bits, or a Jaccard similarity of 0.8 or more on shingles of five words.
     Rows are told apart though they share an id or have none.
     """
     rows = cut(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.monotonically_increasing_id().alias("at")), "neardup-rows")
     marked = cut(fingerprints(rows.select(F.col("at").alias("doc_id"), "row.text"), shingle), "fingerprints")
     ids = rows.select("at", F.col("row.doc_id").cast("long").alias("id"))
-    placed = marked.join(_roots(marked, budget), "fp").select(F.col("doc_id").alias("at"), "root").join(ids, "at")
+    texts = rows.select("at", F.col("row.text").cast("string").alias("text"))
+    near = cut(marked.join(_roots(marked, budget), "fp").select(F.col("doc_id").alias("at"), "root"), "roots")
+    # Equal texts share a root: one of each fingerprint and text stands for all.
+    one = near.join(texts.select("at", F.xxhash64("text").alias("h")), "at").groupBy("root", "h").agg(F.min("at").alias("at")).select("at", "root")
+    joined = components(cut(copies(texts.join(one, "at", "left_semi"), one), "copies"), "copies")
+    over = joined.select(F.col("node").alias("root"), F.col("root").alias("top"))
+    placed = near.join(over, "root", "left").select("at", F.coalesce("top", "root").alias("root")).join(ids, "at")
     kept = placed.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "at")).alias("best")).select("best.at")
     return rows.join(kept, "at", "left_semi").select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])

@@ -94,3 +94,15 @@ def test_chain_over_a_null_id(spark, monkeypatch):
     fps = {"x": 0, "y": 0b1111, "z": 0b11111111}
     monkeypatch.setattr(S, "fingerprints", lambda docs, shingle: spark.createDataFrame([(1, fps["x"]), (None, fps["y"]), (2, fps["z"])], "doc_id long, fp long"))
     assert [x["component_id"] for x in S.near_duplicates(documents(spark, ["x"])).collect()] == [1, 1, 1]
+
+
+def test_keep_one_of_all_near_copies(spark):
+    texts = []
+    for seed, n in enumerate([60, 90, 150, 300]):
+        words = prose(80 + seed, n).split()
+        texts += [" ".join(words), " ".join(["new"] * (n // 10) + words), " ".join(words + prose(90 + seed, n // 2).split())]
+    sets = [{" ".join(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    near = lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) or bin(slow_fingerprint(texts[i]) ^ slow_fingerprint(texts[j])).count("1") <= 4
+    expected = [i for i in range(len(texts)) if not any(near(i, j) for j in range(i))]
+    assert any(bin(slow_fingerprint(texts[i]) ^ slow_fingerprint(texts[i + 1])).count("1") > 4 for i in range(0, 12, 3))
+    assert sorted(x["doc_id"] for x in S.keep_one(documents(spark, texts)).collect()) == expected == [0, 2, 3, 5, 6, 8, 9, 11]
