@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casemill.operators.windows import numbered_in
+from casemill.operators.windows import numbered
 
 
 def expanded(matrix: DataFrame, count: str, name: str = "copy") -> DataFrame:
@@ -33,14 +33,8 @@ def quotas(shares: DataFrame, total: int, share: str = "share") -> DataFrame:
 
 
 def assigned(seeds: DataFrame, order: list, slots: DataFrame, slot_order: list) -> DataFrame:
-    """The i-th seed takes the i-th slot; seeds or slots beyond the shorter side are left out.
-
-    Both sides are batches of the size of one job's request.
-    """
-    one = F.lit(1)
-    left = numbered_in(seeds.withColumn("_all", one), ["_all"], order, "_at").drop("_all")
-    right = numbered_in(slots.withColumn("_all", one), ["_all"], slot_order, "_at").drop("_all")
-    return left.join(right, "_at").drop("_at")
+    """The i-th seed takes the i-th slot; seeds or slots beyond the shorter side are left out. Both orders are unique."""
+    return numbered(seeds, order, "_at").join(numbered(slots, slot_order, "_at"), "_at").drop("_at")
 
 
 def every(*frames: DataFrame) -> DataFrame:

@@ -45,6 +45,24 @@ def recent_before(df: DataFrame, by: list[str], order: list[Column], value: str,
     return df.withColumn(name, F.collect_list(value).over(w))
 
 
+def numbered_across(df: DataFrame, by: list[str], order: list[Column], name: str = "number", buckets: int | None = None) -> DataFrame:
+    """Rows numbered from 1 in each group, without one task that holds a large group.
+
+    As numbered(), with the rows of the group's earlier range partitions counted; only a group that goes on from one
+    partition to the next has any, so there is one at most for each partition. The order must be unique in a group.
+    """
+    buckets = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(buckets, *by, *order).withColumn("_part", F.spark_partition_id())
+    ranged = ranged.persist()
+    key = F.struct(*by)
+    counts = ranged.groupBy(key.alias("_group"), F.col("_part").alias("_at_part")).agg(F.count("*").alias("_n"))
+    earlier = Window.partitionBy("_group").orderBy("_at_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select("_group", "_at_part", F.sum("_n").over(earlier).alias("_before")).where(F.col("_before") > 0)
+    own = F.row_number().over(Window.partitionBy("_part", *by).orderBy(*order))
+    joined = ranged.withColumn("_own", own).join(F.broadcast(before), (F.col("_part") == F.col("_at_part")) & key.eqNullSafe(F.col("_group")), "left")
+    return joined.withColumn(name, (F.col("_own") + F.coalesce("_before", F.lit(0))).cast("bigint")).drop("_part", "_at_part", "_group", "_own", "_before")
+
+
 def round_robin(df: DataFrame, by: list[str], order: list[Column], k: int, name: str = "turn") -> DataFrame:
     """Rows of each group dealt in turn to 0 .. k - 1."""
-    return numbered_in(df, by, order, "_at").withColumn(name, (F.col("_at") - 1) % k).drop("_at")
+    return numbered_across(df, by, order, "_at").withColumn(name, ((F.col("_at") - 1) % k).cast("int")).drop("_at")

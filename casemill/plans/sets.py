@@ -83,7 +83,7 @@ _QUOTAS = [("YES", 5), ("NO", 3), ("MAYBE", 0)]
  c AS (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) AS k FROM customer WHERE c_custkey <= 20) SELECT c_custkey, label FROM c JOIN s USING (k)""")
 def quota_assignment(spark: SparkSession, d: str) -> DataFrame:
     slots = G.expanded(spark.createDataFrame(_QUOTAS, "label string, n long"), "n").select("label", "copy")
-    seeds = table(spark, d, "customer", "c_custkey").where(F.col("c_custkey") <= 20)
+    seeds = table(spark, d, "customer", "c_custkey")
     return G.assigned(seeds, [F.col("c_custkey")], slots, [F.col("label"), F.col("copy")]).select("c_custkey", "label")
 
 

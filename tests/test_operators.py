@@ -216,3 +216,22 @@ def test_stream(spark, tmp_path):
     for _ in range(2):  # the second run finds nothing new
         responses.collect_available(responses.arriving(spark, str(folder)), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 3
+
+
+def test_a_large_group_is_numbered_in_several_tasks(spark):
+    conf = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(conf)
+    spark.conf.set(conf, "false")
+    try:
+        df = spark.range(1000).select(F.when(F.col("id") < 900, "hot").when(F.col("id") < 990, "b").alias("g"), (-F.col("id")).alias("o"))
+        rows = windows.round_robin(df, ["g"], [F.col("o")], 3).withColumn("task", F.spark_partition_id()).collect()
+        for g in ("hot", "b", None):
+            own = sorted((x for x in rows if x["g"] == g), key=lambda x: x["o"])
+            assert [x["turn"] for x in own] == [i % 3 for i in range(len(own))] and len(own) in (900, 90, 10)
+        assert len({x["task"] for x in rows if x["g"] == "hot"}) > 1
+        pairs = generation.assigned(spark.range(500), [F.col("id").desc()], spark.range(400).select(F.col("id").alias("slot")), [F.col("slot")]).withColumn("task", F.spark_partition_id()).collect()
+        assert sorted((x["slot"], x["id"]) for x in pairs) == [(i, 499 - i) for i in range(400)]
+        plan = generation.assigned(spark.range(500), [F.col("id")], spark.range(400).select(F.col("id").alias("slot")), [F.col("slot")])._jdf.queryExecution().toString()
+        assert "_all" not in plan
+    finally:
+        spark.conf.set(conf, before)
