@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark import cloudpickle
@@ -16,7 +17,7 @@ import casemill
 # Executors need no copy of this package: its functions travel with the tasks.
 cloudpickle.register_pickle_by_value(casemill)
 
-#: Rows of an Arrow batch; with texts of up to 1 MB a batch stays in a worker's memory.
+#: Rows of an Arrow batch that a function is given at a time; Spark bounds the batches themselves by bytes.
 BATCH_ROWS = 256
 
 _own_folder: list[str] = []
@@ -34,11 +35,29 @@ def shared_folder(spark: SparkSession) -> str:
     return _own_folder[0]
 
 
+@contextmanager
+def settings(spark: SparkSession, **values: str) -> Iterator[None]:
+    """Session settings (dots as double underscores) for the actions inside; afterwards they are as before."""
+    named = {k.replace("__", "."): v for k, v in values.items()}
+    before = {k: spark.conf.get(k) for k in named}
+    try:
+        for k, v in named.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: lineage ends here, and lost executors cost nothing."""
+    """Write df as Parquet in the shared folder and read it back: lineage ends here, and lost executors cost nothing.
+
+    Once the table stands, the shuffle files of its making are deleted.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with settings(spark, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true"):
+        df.write.parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     table.shared_path = path
     return table
@@ -51,12 +70,18 @@ def forget(table: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of at most so many rows."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def map_batches(df: DataFrame, each: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """mapInArrow of a function of one bounded batch."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """mapInArrow of a function of a small batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             out = each(batch)
             if out is not None:
                 yield out

@@ -234,7 +234,6 @@ def extract(pages: DataFrame, weights: dict[str, np.ndarray] | None = None) -> D
             texts = ["\n".join(x.text for x, main in zip(b, q, strict=True) if main >= 0.5) for b, q in zip(blocks, p, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(b) for b in blocks], pa.int32())], names=["page_id", "url", "text", "n_blocks"])
 
-    pages.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(PAGES))
     kinds = {c: pages.schema[c].dataType.simpleString() for c in ("page_id", "url")}
     found = pages.select("page_id", "url", F.col("html").cast("string").alias("html")).mapInArrow(run, f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_blocks int")
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_blocks")

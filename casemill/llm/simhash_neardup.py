@@ -169,7 +169,6 @@ def links(points: DataFrame, budget: int = BUDGET) -> DataFrame:
         if len(held["key"]) and (out := _tries(held, budget)) is not None:
             yield out
 
-    points.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
     return tiles.repartition("key", "tile").sortWithinPartitions("key", "tile").mapInArrow(run, "a long, b long")
 
 
