@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,6 +14,11 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use of a value that is worked out once a row, however often use names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def present(c: Column | str) -> Column:
     """The text, or null if it is empty."""
     return F.nullif(col(c), F.lit(""))
@@ -95,15 +102,22 @@ def analysed_difficulty(c: Column | str) -> Column:
 
 
 def subdomain(c: Column | str) -> Column:
-    """Blanks collapsed, words capitalised; UNKNOWN if null or empty."""
-    return F.coalesce(present(F.initcap(F.trim(F.regexp_replace(col(c), "\\s+", " ")))), F.lit("UNKNOWN"))
+    """Blanks collapsed, runs of letters capitalised, also after hyphens and other marks; UNKNOWN if null or empty."""
+    parts = F.regexp_extract_all(F.trim(F.regexp_replace(col(c), "\\s+", " ")), F.lit("\\p{L}+|\\P{L}+"), F.lit(0))
+    return F.coalesce(present(F.array_join(F.transform(parts, F.initcap), "")), F.lit("UNKNOWN"))
+
+
+# Patterns of a marked claim, of a quoted one, and of the clause that is cut from a scenario.
+MARKED_CLAIM = "(?i)Claim:\\s*[\"']?([^\"'\\n]+)[\"']?"
+QUOTED_CLAIM = '(?i)"([^"]+causes?[^"]+)"'
+CLAIM_CLAUSE = "(?i)\\n*Claim:\\s*[\"']?[^\"'\\n]+[\"']?\\n*"
 
 
 def claim(scenario: Column | str, default: str = "Causal claim extracted from scenario") -> Column:
     """A marked claim, else a quoted sentence that says what causes, else the default."""
     c = col(scenario)
-    marked = F.trim(F.regexp_extract(c, "(?i)Claim:\\s*[\"']?([^\"'\\n]+)[\"']?", 1))
-    quoted = F.trim(F.regexp_extract(c, '(?i)"([^"]+causes?[^"]+)"', 1))
+    marked = F.trim(F.regexp_extract(c, MARKED_CLAIM, 1))
+    quoted = F.trim(F.regexp_extract(c, QUOTED_CLAIM, 1))
     return F.coalesce(present(marked), present(quoted), F.lit(default))
 
 
@@ -112,7 +126,7 @@ def last_line(c: Column | str) -> Column:
 
 
 def without_claim(scenario: Column | str) -> Column:
-    return F.trim(F.regexp_replace(col(scenario), "(?i)\\n*Claim:\\s*[\"']?[^\"'\\n]+[\"']?\\n*", "\n"))
+    return F.trim(F.regexp_replace(col(scenario), CLAIM_CLAUSE, "\n"))
 
 
 def with_claim(scenario: Column | str, text: Column | str) -> Column:
@@ -125,17 +139,19 @@ def variables(raw: Column | str, level: Column | str) -> Column:
     Each of X and Y may be text or a struct, Z text or an array.
     """
     c, kinds = col(raw), "struct<name:string,role:string>"
-    parsed = F.from_json(c, "struct<X:string,Y:string,Z:string,`X'`:string>")
 
-    def named(field: str, role: str) -> Column:
-        text = parsed[field]
-        own = F.from_json(text, kinds)
-        return F.when(text.startswith("{") & own["name"].isNotNull(), own).when(present(text).isNotNull(), F.struct(text.alias("name"), F.lit(role).alias("role")))
+    def named(text: Column, role: str) -> Column:
+        made = F.struct(text.alias("name"), F.lit(role).alias("role"))
+        held = lambda own: F.when(own["name"].isNotNull(), own).otherwise(made)
+        return F.when(text.startswith("{"), _once(F.from_json(text, kinds), held)).when(present(text).isNotNull(), made)
 
-    z = parsed["Z"]
-    several = F.when(z.startswith("["), F.from_json(z, "array<string>")).when(present(z).isNotNull(), F.array(z)).otherwise(F.array().cast("array<string>"))
-    counter = F.when(col(level) == "L3", present(parsed["X'"]))
-    return F.when(parsed.isNotNull() & c.startswith("{"), F.struct(named("X", "exposure").alias("X"), named("Y", "outcome").alias("Y"), several.alias("Z"), counter.alias("X'")))
+    def shaped(parsed: Column) -> Column:
+        z = parsed["Z"]
+        several = F.when(z.startswith("["), F.from_json(z, "array<string>")).when(present(z).isNotNull(), F.array(z)).otherwise(F.array().cast("array<string>"))
+        counter = F.when(col(level) == "L3", present(parsed["X'"]))
+        return F.when(parsed.isNotNull(), F.struct(named(parsed["X"], "exposure").alias("X"), named(parsed["Y"], "outcome").alias("Y"), several.alias("Z"), counter.alias("X'")))
+
+    return F.when(c.startswith("{"), _once(F.from_json(c, "struct<X:string,Y:string,Z:string,`X'`:string>"), shaped))
 
 
 def conditional_answers(raw: Column | str, ambiguous: Column | None = None) -> Column:
@@ -173,6 +189,20 @@ def minutes_seconds(ms: Column | str) -> Column:
     return F.concat(F.floor(s / 60).cast("string"), F.lit(":"), F.lpad((s % 60).cast("string"), 2, "0"))
 
 
+def iso_time(ms: Column | str) -> Column:
+    """Milliseconds since 1970 as an ISO 8601 text in UTC."""
+    return F.date_format(F.to_utc_timestamp(F.timestamp_millis(col(ms).cast("bigint")), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+
+
+def imported_trap(trap: Column | str, level: Column | str) -> Column:
+    """The code of an older trap name, by level: names that are not known are themselves, or the default at the second level."""
+    key = trap_key(F.coalesce(present(trap), F.lit("NONE")))
+    known = lambda table: F.element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), key)
+    codes = {c: c for c in [*vocab.L2_TRAPS, *vocab.L3_TRAPS]}
+    every = known(vocab.IMPORTED_TRAPS | codes)
+    return F.when(col(level) == "L2", F.coalesce(known(vocab.IMPORTED_L2_TRAPS), every, F.lit(vocab.L2_DEFAULT_TRAP))).otherwise(F.coalesce(every, key))
+
+
 def combined(a: Column | str, b: Column | str) -> Column:
     return F.concat_ws(" - ", F.coalesce(present(a), F.lit("OTHER")), F.coalesce(present(b), F.lit("OTHER")))
 

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from casemill.operators.tables import settled
+
 
 def panel(df: DataFrame, by: list[str] | None = None, **tests: Column) -> DataFrame:
     """total and one conditional count for each test, of all rows or by group."""
@@ -112,6 +114,7 @@ def five_numbers(df: DataFrame, by: list[str], value: str) -> DataFrame:
 
 def histogram(df: DataFrame, value: str, bins: int = 50) -> DataFrame:
     """Rows by equal bins between the least and greatest value; the greatest belongs to the last bin."""
+    df = settled(df.select(value), "histogram")  # its bounds and its bins both read it
     low, high = df.agg(F.min(value)).scalar(), df.agg(F.max(value)).scalar()
     at = F.least(F.lit(bins - 1).cast("bigint"), F.coalesce(F.floor(F.try_divide((F.col(value) - low) * bins, high - low)), F.lit(0).cast("bigint")))
     return df.where(F.col(value).isNotNull()).select(at.alias("bin")).groupBy("bin").agg(F.count("*").alias("n"))
@@ -124,6 +127,52 @@ def merged_patterns(df: DataFrame, keys: list[str], ids: str, n: str, examples:
     return found.select(*keys, n, F.flatten(F.col(f"_all.{ids}")).alias(ids), F.slice(F.flatten(F.col(f"_all.{examples}")), 1, most_examples).alias(examples))
 
 
+def grouped_lists(df: DataFrame, key: str, ids: str, unknown: str = "unknown") -> DataFrame:
+    """The ids of each key in order, and how many; rows whose key is null or empty are those of unknown."""
+    named = df.select(F.coalesce(F.nullif(F.col(key), F.lit("")), F.lit(unknown)).alias(key), ids)
+    return named.groupBy(key).agg(F.count("*").alias("n"), F.sort_array(F.collect_list(ids)).alias(ids))
+
+
+def union_in_order(df: DataFrame, source: str, order: list[str], items: str) -> DataFrame:
+    """The different items of all rows' arrays as rows (at, item), in the order of their first place; sources come in order of their number."""
+    placed = df.select(source, *order, F.posexplode(items).alias("_i", "item")).where(F.col("item").isNotNull())
+    first = placed.groupBy("item").agg(F.min(F.struct(source, *order, "_i")).alias("at"))
+    return first.select("at", "item")
+
+
+def greatest_deficit(deficits: DataFrame, key: str) -> DataFrame:
+    """The row furthest below its target; of equal ones the first by key."""
+    return deficits.orderBy(F.col("deficit").desc(), F.col(key)).limit(1)
+
+
+def stacked(df: DataFrame, by: str, column: str, k: int | None = None, other: str = "OTHER") -> DataFrame:
+    """Counts by two columns for stacked bars; with k only the k most frequent values of the second by name, others together."""
+    if k is None:
+        return df.groupBy(by, column).agg(F.count("*").alias("n"))
+    counts = df.groupBy(by, column).agg(F.count("*").alias("n"))
+    top = counts.groupBy(column).agg(F.sum("n").alias("_all")).orderBy(F.col("_all").desc(), F.col(column)).limit(k).select(F.col(column).alias("_top"))
+    named = F.when(F.col("_top").isNull(), F.lit(other)).otherwise(F.col(column))
+    return counts.join(top, F.col(column).eqNullSafe(F.col("_top")), "left").groupBy(by, named.alias(column)).agg(F.sum("n").alias("n"))
+
+
+def report_sections(df: DataFrame, columns: list[str], issues: list[str]) -> DataFrame:
+    """section, name, n, percent of all rows: a report's tables, the values of each column and the rows with each issue; one pass over the rows."""
+    marks = [F.struct(F.lit(c).alias("section"), F.col(c).cast("string").alias("name"), F.lit(1).alias("one")) for c in columns]
+    marks += [F.struct(F.lit("issue").alias("section"), F.lit(c).alias("name"), F.coalesce(F.col(c), F.lit(False)).cast("int").alias("one")) for c in issues]
+    counts = df.select(F.explode(F.array(*marks)).alias("m")).groupBy("m.section", "m.name").agg(F.sum("m.one").alias("n"), F.count("*").alias("rows"))
+    # Every row has a mark for each issue, and one for each column: a section's marks are all rows.
+    whole = F.sum("rows").over(Window.partitionBy("section"))
+    per = F.when(F.col("section") == "issue", F.lit(max(1, len(issues)))).otherwise(1)
+    return counts.select("section", "name", "n", (F.floor(F.col("n") * 1000.0 / (whole / per) + 0.5) / 10.0).alias("percent"))
+
+
+def issue_flags(df: DataFrame, bounds: dict[str, float]) -> DataFrame:
+    """name, rate, flagged: of each issue the share of rows that have it, and whether that is over its bound."""
+    rates = df.agg(*[F.avg(F.coalesce(F.col(c), F.lit(False)).cast("double")).alias(c) for c in bounds])
+    rows = F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("rate"), (F.col(c) > b).alias("flagged")) for c, b in bounds.items()])
+    return rates.select(F.explode(rows).alias("r")).select("r.*")
+
+
 def before_after(old: DataFrame, new: DataFrame, key: str, score: str, by: list[str], accept: float = 8) -> DataFrame:
     """Revised rows by group: how many, mean change, and the share accepted now."""
     joined = old.join(new.select(key, F.col(score).alias("_new")), key)

@@ -41,6 +41,31 @@ def score_rubric(df: DataFrame, scorer: Callable[[dict], dict]) -> DataFrame:
     return scored(df, scorer, {name: "double" for name, _, _ in vocab.RUBRIC}, CAUTIOUS_SCORES)
 
 
+# What a structural evaluation says, and what it says when the evaluator fails.
+STRUCTURE_FIELDS = {
+    "pearlLevelAssessment": "string", "trapTypeAssessment": "string", "trapSubtypeAssessment": "string", "groundTruthAssessment": "string",
+    "hasAmbiguity": "boolean", "hasLogicalIssues": "boolean", "hasDomainErrors": "boolean", "clarityScore": "int",
+    "overallVerdict": "string", "priorityLevel": "int", "structuralNotes": "string", "suggestedCorrections": "string", "reportTags": "array<string>",
+}
+UNEVALUATED = dict.fromkeys(STRUCTURE_FIELDS) | {"overallVerdict": "NEEDS_REVIEW", "priorityLevel": 2, "hasAmbiguity": False, "hasLogicalIssues": False, "hasDomainErrors": False}
+
+
+def evaluated(df: DataFrame, evaluator: Callable[[dict], dict]) -> DataFrame:
+    """df with a structural evaluation of each row; a row that the evaluator fails on needs review."""
+    return scored(df, evaluator, STRUCTURE_FIELDS, UNEVALUATED)
+
+
+def backfilled(df: DataFrame, column: str, writer: Callable[[dict], str]) -> DataFrame:
+    """df with a text column written where it is null or empty; what is there stays, and so does a row the writer fails on.
+
+    The writer is called for the rows that lack the text only.
+    """
+    lacking = F.col(column).isNull() | (F.col(column) == "")
+    written = scored(df.where(lacking), lambda row: {"_new": writer(row)}, {"_new": "string"}, {"_new": None})
+    filled = written.withColumn(column, F.coalesce("_new", column)).select(df.columns)
+    return df.where(~lacking).unionByName(filled)
+
+
 def rewritten(df: DataFrame, column: str, rewriter: Callable[[str], str]) -> DataFrame:
     """df with a text column rewritten; the original where the rewriter fails."""
     out = scored(df, lambda row: {"_new": rewriter(row[column])}, {"_new": "string"}, {"_new": None})

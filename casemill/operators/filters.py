@@ -44,6 +44,9 @@ SORTS = {
     "newest": lambda: [F.col("createdAt").desc()],
     "oldest": lambda: [F.col("createdAt").asc()],
     "level": lambda: [F.col("pearlLevel").asc()],
+    "level-asc": lambda: [F.col("pearlLevel").asc()],
+    "level-desc": lambda: [F.col("pearlLevel").desc()],
+    "groundTruth": lambda: [F.col("groundTruth").asc()],
     "domain": lambda: [F.col("domain").asc()],
     "trap": lambda: [F.col("trapType").asc()],
     "difficulty": lambda: [F.col("difficulty").asc()],
@@ -57,6 +60,17 @@ def page(df: DataFrame, order: list[Column], limit: int = 500, offset: int = 0,
     return df.orderBy(*order).offset(offset).limit(min(limit, most))
 
 
+def drawn_order(key: str, seed: int) -> list[Column]:
+    """An order drawn by a hash of key and seed, ties by key: the sort called random."""
+    return [F.md5(F.concat(F.col(key).cast("string"), F.lit(str(seed))).cast("binary")), F.col(key)]
+
+
 def shuffled(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
     """n rows in an order drawn by a hash of key and seed."""
-    return df.orderBy(F.md5(F.concat(F.col(key).cast("string"), F.lit(str(seed))).cast("binary")), key).limit(n)
+    return df.orderBy(*drawn_order(key, seed)).limit(n)
+
+
+def sorted_page(df: DataFrame, sort: str, key: str, limit: int = 500, offset: int = 0, seed: int = 0) -> DataFrame:
+    """A page in one of the named orders or, for random, in an order drawn by the seed; unknown names mean newest."""
+    order = drawn_order(key, seed) if sort == "random" else [*SORTS.get(sort, SORTS["newest"])(), F.col(key)]
+    return page(df, order, limit, offset)

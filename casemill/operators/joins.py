@@ -5,7 +5,7 @@ Catalyst picks the strategy: small sides are broadcast under the session's thres
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -37,6 +37,13 @@ def looked_up(df: DataFrame, dimension: DataFrame, keys: list[str], column: str,
     return joined if default is None else joined.withColumn(column, F.coalesce(F.col(column), default))
 
 
+def by_priority(parents: DataFrame, children: DataFrame, key: str, details: DataFrame, detail_key: str, priority: str) -> DataFrame:
+    """Each parent with its children in the order of priority, and each child's detail row; parents without children stay, once."""
+    own = children.join(details, detail_key, "left")
+    at = F.row_number().over(Window.partitionBy(key).orderBy(F.col(priority).asc_nulls_last(), detail_key))
+    return parents.join(own.withColumn("at", at), key, "left")
+
+
 def unmapped(df: DataFrame, dimension: DataFrame, key: str) -> DataFrame:
     """Distinct values of key that the dimension lacks."""
     return df.select(key).where(F.col(key).isNotNull()).distinct().join(dimension.select(key), key, "left_anti")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from casemill.functions import vocab
+
 
 def update_where(df: DataFrame, test: Column, **new: Column) -> DataFrame:
     """Columns changed in the rows where the test holds; a null test changes nothing."""
@@ -24,6 +26,47 @@ def patched(df: DataFrame, patch: DataFrame, key: str, allowed: list[str]) -> Da
     return joined.select(*[F.coalesce(f"_new_{c}", c).alias(c) if c in own else F.col(c) for c in df.columns])
 
 
+def backfilled_ambiguity(q: DataFrame) -> DataFrame:
+    """q with its author, hidden question, conditional answers and causal structure completed where they are missing.
+
+    Generated rows without an author get LLM; ambiguous rows await a hidden question and answers (TBD) and have no
+    causal structure; for all others the two don't apply (N/A).
+    """
+    lacks = lambda c: F.col(c).isNull() | (F.col(c) == "")
+    ambiguous = F.coalesce(F.col("groundTruth") == "AMBIGUOUS", F.lit(False))
+    open_ = F.when(ambiguous, "TBD").otherwise("N/A")
+    new = {c: F.when(lacks(c), open_).otherwise(F.col(c)) for c in ("hiddenTimestamp", "conditionalAnswers")}
+    new["author"] = F.when(F.coalesce(F.col("isLLMGenerated"), F.lit(False)) & lacks("author"), "LLM").otherwise(F.col("author"))
+    new["causalStructure"] = F.when(~(ambiguous & ~lacks("causalStructure")), F.col("causalStructure"))
+    return q.withColumns(new)
+
+
+def scored_by_responses(q: DataFrame, responses: DataFrame) -> DataFrame:
+    """q with the rubric scores of batch responses (custom_id, failed, scores, notes), by id; other rows are as before.
+
+    Scores are held to their bounds, and parts for ambiguous cases are full for others; a response that failed, or
+    whose id q lacks, changes nothing.
+    """
+    parts = [name for name, _, _ in vocab.RUBRIC]
+    good = responses.where(~F.col("failed")).select(F.col("custom_id").alias("_id"), *[F.col(p).alias(f"_{p}") for p in parts], F.col("notes").alias("_notes"))
+    ambiguous = F.coalesce(F.col("groundTruth").isin(vocab.AMBIGUOUS_LABELS), F.lit(False))
+    joined = q.join(good, F.col("id") == F.col("_id"), "left")
+    answered = F.col("_id").isNotNull()
+    new = {}
+    for name, most, only_ambiguous in vocab.RUBRIC:
+        own = F.least(F.lit(most), F.greatest(F.lit(0.0), F.coalesce(f"_{name}", F.lit(0.0))))
+        new[name] = F.when(ambiguous, own).otherwise(F.lit(most)) if only_ambiguous else own
+    total = sum(new.values(), F.lit(0.0))
+    new |= {"finalScore": F.floor(total * 10 + 0.5).cast("double") / F.lit(10.0), "validator": F.lit("batch-validator"), "validationStatus": F.lit("scored"), "validatorNotes": F.concat(F.lit("[Batch-scored] "), F.coalesce("_notes", F.lit("")))}
+    kept = [F.when(answered, new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in q.columns]
+    return joined.select(*kept)
+
+
+def deleted_counts(df: DataFrame, test: Column, by: str | None = None) -> DataFrame:
+    """How many rows a deletion would take, in all or by a column, before it is done."""
+    return df.where(F.coalesce(test, F.lit(False))).groupBy(*([by] if by else [])).agg(F.count("*").alias("n"))
+
+
 def upserted(df: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """Rows of both sides; where both have a key, the new row's values that are not null."""
     old = df.select(F.col(key).alias("_key"), *[F.col(c).alias(f"_old_{c}") for c in df.columns])

@@ -76,6 +76,12 @@ def verdict(findings: DataFrame) -> DataFrame:
     return n.withColumn("verdict", F.when(F.col("errors") > 0, "FAIL").otherwise("PASS"))
 
 
+def first_findings(findings: DataFrame, severity: str = "warning", most: int = 20) -> DataFrame:
+    """The first findings of a severity, by id, rule and field: what a report lists."""
+    own = findings.where(F.col("severity") == severity)
+    return own.orderBy("id", "rule", "field").limit(most)
+
+
 def repeated_values(values: Column) -> Column:
     """Whether two values of an array are equal once all but letters is left out."""
     bare = F.array_remove(F.transform(values, lambda x: F.regexp_replace(F.lower(x), "[^a-z]", "")), "")

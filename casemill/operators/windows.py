@@ -5,16 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from casemill.operators.tables import settled
+
 
 def numbered(df: DataFrame, order: list[Column], name: str = "number", buckets: int | None = None) -> DataFrame:
     """Rows numbered from 1 in a total order, without one task that holds them all.
 
-    Rows are range-partitioned by the order and cut there; each partition is numbered by itself and moved by the
+    Rows are range-partitioned by the order and written so; each partition is numbered by itself and moved by the
     count of those before it. The order must be unique. buckets: the session's shuffle partitions if not given.
     """
     buckets = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(buckets, *order).withColumn("_part", F.spark_partition_id())
-    ranged = ranged.persist()
+    ranged = settled(df.repartitionByRange(buckets, *order).withColumn("_part", F.spark_partition_id()), "numbered")
     counts = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
     before = counts.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     own = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
@@ -52,8 +53,7 @@ def numbered_across(df: DataFrame, by: list[str], order: list[Column], name: str
     partition to the next has any, so there is one at most for each partition. The order must be unique in a group.
     """
     buckets = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(buckets, *by, *order).withColumn("_part", F.spark_partition_id())
-    ranged = ranged.persist()
+    ranged = settled(df.repartitionByRange(buckets, *by, *order).withColumn("_part", F.spark_partition_id()), "numbered")
     key = F.struct(*by)
     counts = ranged.groupBy(key.alias("_group"), F.col("_part").alias("_at_part")).agg(F.count("*").alias("_n"))
     earlier = Window.partitionBy("_group").orderBy("_at_part").rowsBetween(Window.unboundedPreceding, -1)

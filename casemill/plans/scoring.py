@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 
 from casemill.functions import vocab
 from casemill.functions.cases import n_words
-from casemill.functions.vectors import dot
 from casemill.operators import aggregates as A
-from casemill.operators import joins as J
+from casemill.operators import similarity
 from casemill.operators import validation as V
 from casemill.plans.registry import query
 from casemill.sources.readers import table
@@ -139,25 +138,21 @@ def verdict(spark: SparkSession, d: str) -> DataFrame:
 _DOT_SQL = "list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[])"
 
 
-def _pairs(spark: SparkSession, d: str) -> DataFrame:
-    pairs = J.pairs(table(spark, d, "embeddings", "vec_id", "embedding"), "vec_id", ["embedding"])
-    return pairs.select("vec_id_a", "vec_id_b", dot(F.col("embedding_a"), F.col("embedding_b")).alias("s"))
-
-
 @query(f"SELECT count(*) AS pairs, round(avg({_DOT_SQL}), 6) AS mean, round(stddev_pop({_DOT_SQL}), 6) AS deviation, count(*) FILTER ({_DOT_SQL} > 0.85) AS near, round(max({_DOT_SQL}), 6) AS greatest FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id")
 def similarity_stats(spark: SparkSession, d: str) -> DataFrame:
-    s = F.col("s")
-    return _pairs(spark, d).agg(F.count("*").alias("pairs"), F.round(F.avg(s), 6).alias("mean"), F.round(F.stddev_pop(s), 6).alias("deviation"), F.count_if(s > 0.85).alias("near"), F.round(F.max(s), 6).alias("greatest"))
+    found = similarity.summary(table(spark, d, "embeddings", "vec_id", "embedding"), "vec_id", "embedding", 0.85)
+    return found.select("pairs", *[F.round(c, 6).alias(c) for c in ("mean", "deviation")], "near", F.round("greatest", 6).alias("greatest"))
 
 
 @query(f"WITH p AS (SELECT round({_DOT_SQL}, 9) AS s FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id), e AS (SELECT min(s) AS lo, max(s) AS hi FROM p) SELECT least(9, floor((s - lo) * 10 / (hi - lo)))::BIGINT AS bin, count(*) AS n FROM p, e GROUP BY 1")
 def similarity_hist(spark: SparkSession, d: str) -> DataFrame:
-    return A.histogram(_pairs(spark, d).select(F.round("s", 9).alias("s")), "s", 10)
+    return similarity.histogram(table(spark, d, "embeddings", "vec_id", "embedding"), "vec_id", "embedding", 10)
 
 
 @query(f"SELECT a.vec_id AS vec_id_a, b.vec_id AS vec_id_b FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE {_DOT_SQL} > 0.3512345")
 def near_dup_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return _pairs(spark, d).where(F.col("s") > 0.3512345).select("vec_id_a", "vec_id_b")
+    near = similarity.pairs_above(table(spark, d, "embeddings", "vec_id", "embedding"), "vec_id", "embedding", 0.3512345)
+    return near.select(F.col("a").alias("vec_id_a"), F.col("b").alias("vec_id_b"))
 
 
 @query("""WITH v AS (SELECT lang, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> ''))::DOUBLE AS w FROM documents),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from casemill.functions import vocab
 from casemill.operators import aggregates as A
 from casemill.operators import generation as G
 from casemill.operators import joins as J
@@ -105,19 +106,49 @@ def unmapped_values(spark: SparkSession, d: str) -> DataFrame:
     return J.unmapped(table(spark, d, "orders", F.split_part("o_orderpriority", F.lit("-"), F.lit(1)).alias("code")), names, "code")
 
 
-@query()
+_U = "(('0x' || substr(md5(draw || '|' || {}), 1, 12))::BIGINT / 281474976710656.0)"
+
+
+def _drawn_sql(u: str, shares: list[tuple[str, float]]) -> str:
+    total, at, tests = sum(s for _, s in shares), 0.0, ""
+    for value, s in shares[:-1]:
+        at += s
+        tests += f" WHEN {u} < {at / total!r} THEN '{value}'"
+    return f"CASE{tests} ELSE '{shares[-1][0]}' END" if tests else f"'{shares[-1][0]}'"
+
+
+def _picked_sql(u: str, values: list[str]) -> str:
+    return f"""[{", ".join(f"'{v}'" for v in values)}][(floor({u} * {len(values)}) + 1)::INT]"""
+
+
+def _hierarchical_sql(n: int, needs: dict[str, tuple[int, int]], seed: int) -> str:
+    u = [_U.format(seed * 10 + i) for i in range(5)]
+    answers = " ".join(f"WHEN '{k}' THEN {_drawn_sql(u[1], v)}" for k, v in S.ANSWER_SHARES.items())
+    wolves, sheep = ([c for c in vocab.L1_TRAPS if c[0] == x] for x in "WS")
+    kinds = [("L1", "NO", wolves), ("L1", "YES", sheep), ("L2", "NO", list(vocab.L2_TRAPS)), *(("L3", a, [f for f, own in vocab.L3_ANSWERS.items() if a in own]) for a in vocab.LABELS["L3"])]
+    kind = " ".join(f"WHEN level = '{lv}' AND answer = '{an}' THEN {_picked_sql(u[3], own)}" for lv, an, own in kinds)
+    return f"""WITH a AS (SELECT i AS draw, {_drawn_sql(u[0].replace("draw", "i"), S.level_shares(needs))} AS level FROM range({n}) r(i)),
+ b AS (SELECT *, CASE level {answers} END AS answer, {_drawn_sql(u[2], S.DIFFICULTY_SHARES)} AS difficulty FROM a)
+ SELECT *, CASE {kind} END AS type, CASE WHEN answer IN ('AMBIGUOUS', 'CONDITIONAL') THEN {_picked_sql(u[4], vocab.AMBIGUITIES)} END AS ambiguity FROM b"""
+
+
+_NEEDS = {"L1": (50, 20), "L2": (297, 100), "L3": (103, 103)}
+
+
+@query(_hierarchical_sql(2000, _NEEDS, 11))
 def random_sample(spark: SparkSession, d: str) -> DataFrame:
-    """Draws of level, answer, difficulty and type; no SQL, the shares are tested."""
-    return S.hierarchical(spark, 2000, {"L1": (50, 20), "L2": (297, 100), "L3": (103, 103)}, seed=11)
+    """Draws of level, answer, difficulty and type."""
+    return S.hierarchical(spark, 2000, _NEEDS, seed=11)
 
 
-@query()
+@query(f"SELECT c_custkey, c_acctbal FROM customer WHERE c_acctbal > 0 ORDER BY -ln(greatest({_U.replace('draw', 'c_custkey').format(3)}, 1e-12)) / c_acctbal, c_custkey LIMIT 50")
 def weighted_pick(spark: SparkSession, d: str) -> DataFrame:
     """Customers drawn by balance without repeats; a sampling operator."""
     return S.weighted_sample(table(spark, d, "customer", "c_custkey", "c_acctbal"), "c_custkey", F.col("c_acctbal"), 50, 3)
 
 
-@query()
+@query(f"""WITH c AS (SELECT source, count(*) AS n FROM documents GROUP BY 1), l AS (SELECT *, row_number() OVER (ORDER BY n, source) AS k FROM c)
+ SELECT source, n FROM l WHERE k <= 3 ORDER BY -ln(greatest({_U.replace('draw', 'source').format(5)}, 1e-12)) / (4 - k), source LIMIT 1""")
 def least_used_pick(spark: SparkSession, d: str) -> DataFrame:
     """One of the three rarest sources, likelier the rarer; a sampling operator."""
     docs = table(spark, d, "documents", "source")

@@ -84,11 +84,6 @@ def dup_array_values(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part", "p_partkey", "p_name", "p_type").select("p_partkey", V.repeated_values(values).alias("repeated"))
 
 
-@query("SELECT doc_id, len(list_filter(regexp_split_to_array(lower(substr(text, 1, 200)), '\\s+'), lambda w: length(w) > 3 AND list_contains(regexp_split_to_array(lower(substr(text, 201, 400)), '\\s+'), w))) >= 2 AS overlap FROM documents")
-def overlapping_values(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents", "doc_id", "text").select("doc_id", V.overlapping(F.substring("text", 1, 200), F.substring("text", 201, 400)).alias("overlap"))
-
-
 @query("SELECT doc_id, coalesce(nullif(trim(regexp_extract(text, '(?i)under the ([a-z ]+) license', 1)), ''), 'none') AS license, substr(text, 1, 30) || '...' AS head, string_split(text, chr(10))[-1] AS last_line FROM documents")
 def text_fallbacks(spark: SparkSession, d: str) -> DataFrame:
     licence = F.coalesce(C.present(F.trim(F.regexp_extract("text", "(?i)under the ([a-z ]+) license", 1))), F.lit("none"))
@@ -107,13 +102,6 @@ def combo_key(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy(C.combined("lang", F.when(F.col("quality") == 1, "YES").when(F.col("quality") == 0, "NO")).alias("combo")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN string_split(substr(text, 1, 40), ' ')[1] END AS first, CASE WHEN doc_id % 2 = 0 THEN string_split(substr(text, 1, 40), ' ')[2] END AS second FROM documents")
-def padded_pair(spark: SparkSession, d: str) -> DataFrame:
-    raw = F.to_json(F.split(F.substring("text", 1, 40), " "))
-    pair = C.conditional_answers(raw, F.col("doc_id") % 2 == 0)
-    return table(spark, d, "documents", "doc_id", "text").select("doc_id", F.get(pair, F.lit(0)).alias("first"), F.get(pair, F.lit(1)).alias("second"))
-
-
 @query("SELECT count(*) FILTER (regexp_matches(lower(text), '" + "|".join(vocab.STRUCTURAL_PHRASES) + "')) AS structural, count(*) FILTER (NOT regexp_matches(lower(text), '" + "|".join(vocab.STRUCTURAL_PHRASES) + "')) AS others FROM documents")
 def structural_audit(spark: SparkSession, d: str) -> DataFrame:
     found = C.mentions_any("text", vocab.STRUCTURAL_PHRASES)

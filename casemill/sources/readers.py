@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from casemill.functions.cases import json_in_text
+from casemill.operators.mutations import upserted
 
 SEED_SCHEMA = (
     "sourceCase string, scenario string, claim string, pearlLevel string, domain string, subdomain string, trapType string, trapSubtype string, "
@@ -24,17 +25,30 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
-def jdbc_table(spark: SparkSession, url: str, name: str, **options: str) -> DataFrame:
-    """A table of a relational store whose driver is on the class path; partitioning options are passed on."""
-    return spark.read.format("jdbc").options(url=url, dbtable=name, **options).load()
+def jdbc_table(spark: SparkSession, url: str, name: str, key: str | None = None, rows_per_read: int = 1_000_000, **options: str) -> DataFrame:
+    """A table of a relational store whose driver is on the class path.
 
+    With a whole-number key the table is read in ranges of it, about so many rows each, side by side: the store is
+    asked for the key's bounds first. Without one, or of an empty table, it is one read.
+    """
+    read = lambda **more: spark.read.format("jdbc").options(url=url, **options, **more).load()
+    if key is None:
+        return read(dbtable=name)
+    low, high, n = read(query=f"SELECT MIN({key}) AS LOW, MAX({key}) AS HIGH, COUNT(*) AS N FROM {name}").first()
+    if not n or low is None:
+        return read(dbtable=name)
+    parts = max(1, -(-int(n) // rows_per_read))
+    return read(dbtable=name, partitionColumn=key, lowerBound=str(int(low)), upperBound=str(int(high) + 1), numPartitions=str(parts))
 
-def json_cases(spark: SparkSession, path: str | list[str], schema: str, wrapper: str = "questions") -> DataFrame:
-    """Rows of JSON files that hold an array of rows, or an object with the array under wrapper."""
-    read = spark.read.option("multiLine", True)
-    wrapped = read.schema(f"{wrapper} array<struct<{_struct(schema)}>>, {schema}").json(path)
-    rows = wrapped.where(F.col(wrapper).isNotNull()).select(F.explode(wrapper).alias("row")).select("row.*")
-    return wrapped.where(F.col(wrapper).isNull()).drop(wrapper).unionByName(rows)
+
+def json_cases(spark: SparkSession, path: str | list[str], schema: str, wrapper: str = "questions", source_file: bool = False) -> DataFrame:
+    """Rows of JSON files that hold an array of rows, or an object with the array under wrapper; with source_file, tagged with the file's name."""
+    read = spark.read.option("multiLine", True).schema(f"{wrapper} array<struct<{_struct(schema)}>>, {schema}").json(path)
+    tag = [F.col("_metadata.file_name").alias("source_file")] if source_file else []
+    names = [f.name for f in StructType.fromDDL(schema).fields]
+    own = F.array(F.struct(*[F.col(f"`{x}`") for x in names]))
+    rows = read.select(F.explode(F.coalesce(F.col(wrapper), own)).alias("row"), *tag)
+    return rows.select("row.*", *(["source_file"] if source_file else []))
 
 
 def _struct(schema: str) -> str:
@@ -43,14 +57,14 @@ def _struct(schema: str) -> str:
 
 
 def json_folder(spark: SparkSession, folder: str, schema: str, skip: str = "combined") -> DataFrame:
-    """Rows of a folder's JSON files whose names lack skip, tagged with source_file; of the skipped ones if there are no others."""
-    def rows(own: Column) -> DataFrame:
-        read = spark.read.option("multiLine", True).schema(schema).json(f"{folder}/*.json")
-        return read.withColumn("source_file", F.col("_metadata.file_name")).where(own)
+    """Rows of a folder's JSON files whose names lack skip, tagged with source_file; of the skipped ones if the others have no rows.
 
+    Files hold arrays, or objects with the array under questions. Which files count is decided when the rows are read.
+    """
+    rows = json_cases(spark, f"{folder}/*.json", schema, source_file=True)
     combined = F.contains(F.lower(F.col("source_file")), F.lit(skip))
-    single = rows(~combined)
-    return single if single.take(1) else rows(combined)
+    others = rows.where(~combined).limit(1).agg(F.count("*")).scalar()
+    return rows.where(~combined | (others == 0))
 
 
 def author_of(source_file: Column, authors: dict[str, str], default: str = "Unknown") -> Column:
@@ -61,6 +75,14 @@ def author_of(source_file: Column, authors: dict[str, str], default: str = "Unkn
     return out
 
 
+def named_author(email: Column, names: dict[str, str], default: str = "Unknown") -> Column:
+    """The name that belongs to an e-mail address, or the address itself; the default without one."""
+    out = F.coalesce(F.nullif(email, F.lit("")), F.lit(default))
+    for key, name in names.items():
+        out = F.when(email == key, name).otherwise(out)
+    return out
+
+
 def parsed_responses(raw: DataFrame, schema: str = SCORES_SCHEMA) -> DataFrame:
     """custom_id, failed, and the fields of the JSON in each batch response's content; nulls where there is none."""
     content = F.get(F.col("response.body.choices"), F.lit(0))["message"]["content"]
@@ -77,6 +99,12 @@ def seed_cases(spark: SparkSession, path: str) -> DataFrame:
     return json_cases(spark, path, SEED_SCHEMA)
 
 
+def with_seeds(questions: DataFrame, seeds: DataFrame, key: str = "sourceCase") -> DataFrame:
+    """questions with seed cases put in, or over the row of the same key; nested fields are held as JSON texts, and columns that questions lacks are left out."""
+    flat = [F.to_json(f.name).alias(f.name) if isinstance(f.dataType, StructType) else F.col(f.name) for f in seeds.schema.fields if f.name in questions.columns]
+    return upserted(questions, seeds.dropDuplicates([key]).select(*flat), key)
+
+
 def ideas(answers: DataFrame, column: str = "answer") -> DataFrame:
     """Seeds in the JSON array that a free answer holds, with defaults for what they lack; an unreadable answer gives none."""
     found = answers.select(F.explode(json_in_text(column, f"struct<{_struct(IDEA_SCHEMA)}>")).alias("s")).select("s.*")

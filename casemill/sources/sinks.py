@@ -6,7 +6,7 @@ import json
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, BooleanType, DataType, IntegralType, NumericType, StructType
 
 from casemill.functions import cases, vocab
 from casemill.operators.windows import numbered
@@ -47,13 +47,58 @@ def export_cases(q: DataFrame, traps: DataFrame, legacy: DataFrame, bucket: str
 
 
 def with_trap(q: DataFrame, traps: DataFrame, legacy: DataFrame) -> DataFrame:
-    """q with trap_code and trap_name: the taxonomy's name of a code at the row's level, a known older name's code, or the text itself."""
-    code = cases.trap_code("trapType")
-    rows = q.withColumn("_key", cases.trap_key(code)).withColumn("_code", code)
-    known = legacy.select(F.col("level").alias("pearlLevel"), F.col("key").alias("_key"), F.col("code").alias("_known"))
-    coded = rows.join(F.broadcast(known), ["pearlLevel", "_key"], "left").withColumn("trap_code", F.coalesce("_known", "_code"))
-    names = traps.select(F.col("level").alias("pearlLevel"), F.col("code").alias("trap_code"), F.col("name").alias("_name"))
-    return coded.join(F.broadcast(names), ["pearlLevel", "trap_code"], "left").withColumn("trap_name", F.coalesce("_name", cases.trap_rest("trapType"), "trap_code")).drop("_key", "_code", "_known", "_name")
+    """q with trap_code and trap_name.
+
+    Before a colon stands the code, whose name is the taxonomy's at the row's level or else what follows the colon. A
+    text without a colon is looked up among the level's codes and older names, or stands for both code and name.
+    """
+    code, rest = cases.trap_code("trapType"), cases.trap_rest("trapType")
+    rows = q.withColumn("_code", code).withColumn("_key", F.when(rest.isNull(), cases.trap_key(code)).otherwise(code))
+    named = legacy.join(traps.select("level", "code", "name"), ["level", "code"]).select(F.col("level").alias("pearlLevel"), F.col("key").alias("_key"), F.col("code").alias("_known"), F.col("name").alias("_name"))
+    found = rows.join(named, ["pearlLevel", "_key"], "left")
+    own = F.when(rest.isNull(), F.coalesce("_known", "_code")).otherwise(F.col("_code"))
+    return found.withColumn("trap_code", own).withColumn("trap_name", F.coalesce("_name", rest, "_code")).drop("_key", "_code", "_known", "_name")
+
+
+SCORE_COLUMNS = ["pearlLevel", "groundTruth", "initialAuthor", "validator", "validationStatus", "scenarioClarityScore", "hiddenQuestionScore", "conditionalAnswerAScore", "conditionalAnswerBScore", "wiseRefusalScore", "difficultyCalibrationScore", "finalScore", "validatorNotes"]
+
+
+def score_lines(q: DataFrame) -> DataFrame:
+    """One line of 14 values a question: its case or id, then SCORE_COLUMNS; nulls are empty, and notes hold no commas or line feeds."""
+    rows = q.withColumn("caseId", cases.first_present("sourceCase", "id"))
+    return rows.select(cases.csv_row("caseId", *SCORE_COLUMNS, cleaned=("validatorNotes",)).alias("value"))
+
+
+def score_header() -> str:
+    return ",".join(["caseId", *SCORE_COLUMNS])
+
+
+def imported(raw: DataFrame) -> DataFrame:
+    """Cases of the older shape (scenario with its claim, variables, annotations) as questions to be stored."""
+    note = lambda c: F.col(f"annotations.{c}")
+    level = F.coalesce(cases.present(note("pearlLevel")), F.lit("L1"))
+    trap = F.concat(cases.imported_trap(note("trapType"), level), F.lit(":"), F.coalesce(cases.first_present(note("trapSubtype"), note("trapType")), F.lit("Unknown")))
+    variable = lambda x, role: F.struct(F.coalesce(cases.present(f"variables.{x}"), F.lit(x)).alias("name"), F.lit(role).alias("role")).alias(x)
+    z = F.when(cases.present("variables.Z").isNotNull(), F.array("variables.Z")).otherwise(F.array().cast("array<string>"))
+    return raw.select(
+        cases.without_claim("scenario").alias("scenario"),
+        cases.claim("scenario").alias("claim"),
+        level.alias("pearlLevel"),
+        F.coalesce(cases.present(note("domain")), F.lit("Markets")).alias("domain"),
+        cases.present(note("subdomain")).alias("subdomain"),
+        trap.alias("trapType"),
+        F.coalesce(note("trapSubtype"), F.lit("")).alias("trapSubtype"),
+        cases.imported_label(level, "groundTruth").alias("groundTruth"),
+        cases.difficulty(note("difficulty")).alias("difficulty"),
+        F.to_json(F.struct(variable("X", "exposure"), variable("Y", "outcome"), z.alias("Z"))).alias("variables"),
+        F.nullif("hiddenTimestamp", F.lit("N/A")).alias("hiddenTimestamp"),
+        F.to_json(cases.conditional_answers("conditionalAnswers"), {"ignoreNullFields": "false"}).alias("conditionalAnswers"),
+        "wiseRefusal",
+        "explanation",
+        F.col("explanation").alias("goldRationale"),
+        note("author").alias("author"),
+        note("caseId").alias("sourceCase"),
+    )
 
 
 def export_annotated(q: DataFrame, for_eval: bool = False) -> DataFrame:
@@ -78,6 +123,21 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def array_lines(df: DataFrame, order: list[Column]) -> DataFrame:
+    """number, value: lines that make one JSON array of the rows, in an order, when they are put together by number."""
+    rows = numbered(df.select("*", F.to_json(F.struct(*df.columns)).alias("_row")), order, "_number").select(F.col("_number").alias("number"), "_row")
+    lines = rows.select("number", F.concat(F.when(F.col("number") == 1, "[").otherwise(","), F.col("_row")).alias("value"))
+    end = rows.agg((F.count("*") + 1).alias("number")).select("number", F.when(F.col("number") == 1, "[]").otherwise("]").alias("value"))
+    return lines.unionByName(end)
+
+
+def write_json_array(df: DataFrame, path: str, order: list[Column]) -> None:
+    """Text files that are one JSON array when they are put together in the order of their names."""
+    lines = array_lines(df, order)
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    lines.repartitionByRange(parts, "number").sortWithinPartitions("number").select("value").write.mode("overwrite").text(path)
+
+
 def write_lines(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").text(path)
 
@@ -86,9 +146,35 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
 
+# The exported case's fields that hold one of a few values, and the range of its score.
+ENUMS = {"pearl_level": list(vocab.LEVELS), "label": ["YES", "NO", "AMBIGUOUS", "VALID", "INVALID", "CONDITIONAL"], "difficulty": vocab.DIFFICULTIES}
+SCORE_RANGE = {"minimum": 0, "maximum": 10}
+
+
+def json_schema(kind: DataType, nullable: bool = False) -> dict:
+    """A Spark type as JSON Schema."""
+    if isinstance(kind, StructType):
+        out: dict = {"type": "object", "properties": {f.name: json_schema(f.dataType) for f in kind.fields}}
+    elif isinstance(kind, ArrayType):
+        out = {"type": "array", "items": json_schema(kind.elementType)}
+    else:
+        out = {"type": "boolean" if isinstance(kind, BooleanType) else "integer" if isinstance(kind, IntegralType) else "number" if isinstance(kind, NumericType) else "string"}
+    return out | {"type": [out["type"], "null"]} if nullable else out
+
+
 def case_schema_document() -> str:
-    """The exported case's schema as JSON, with the fields that must be there."""
-    return json.dumps({"required": vocab.REQUIRED_FIELDS, "minItems": vocab.LEAST_CASES, "items": json.loads(StructType.fromDDL(vocab.CASE_SCHEMA).json())}, indent=2)
+    """JSON Schema (draft 07) of an exported case: types, the values that fields may have, and the fields that must be there."""
+    kind = StructType.fromDDL(vocab.CASE_SCHEMA)
+    filled = {*vocab.REQUIRED_FIELDS} - {"validator", "final_score"}
+    properties = {f.name: json_schema(f.dataType, f.name not in filled) for f in kind.fields}
+    for name, values in ENUMS.items():
+        properties[name]["enum"] = values
+    properties["final_score"] |= SCORE_RANGE
+    # Variables may be plain texts too.
+    for x in "XY":
+        properties["variables"]["properties"][x] = {"oneOf": [{"type": "string"}, properties["variables"]["properties"][x]]}
+    head = {"$schema": "http://json-schema.org/draft-07/schema#", "title": "Exported case", "type": "object", "minItems": vocab.LEAST_CASES}
+    return json.dumps(head | {"properties": properties, "required": vocab.REQUIRED_FIELDS}, indent=2)
 
 
 def markdown_table(df: DataFrame, most: int = 200) -> str:
@@ -108,11 +194,27 @@ def latex_table(df: DataFrame, most: int = 200) -> str:
     return "\n".join([f"\\begin{{tabular}}{{{'l' * len(df.columns)}}}", line(df.columns), "\\hline", *(line(r) for r in rows), "\\end{tabular}"])
 
 
+def text_table(df: DataFrame, most: int = 200) -> str:
+    """A small result as columns of text, each as wide as its longest value."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a report table holds {most} rows at most")
+    shown = [list(df.columns), *(["" if x is None else str(x) for x in r] for r in rows)]
+    wide = [max(len(r[i]) for r in shown) for i in range(len(df.columns))]
+    return "\n".join("  ".join(x.ljust(w) for x, w in zip(r, wide, strict=True)).rstrip() for r in shown)
+
+
 def report(title: str, sections: dict[str, DataFrame]) -> str:
     """Markdown of small result tables under headings."""
     return "\n\n".join([f"# {title}", *(f"## {name}\n\n{markdown_table(df)}" for name, df in sections.items())])
 
 
+def write_results(results: DataFrame, state: dict, path: str) -> None:
+    """A scoring run's results, one object a line, and beside them its state as one JSON object."""
+    write_json(results, f"{path}/results")
+    write_state(results.sparkSession, state, f"{path}/state")
+
+
 def write_state(spark: SparkSession, state: dict, path: str) -> None:
     """A job's state as one JSON object."""
     spark.createDataFrame([(json.dumps(state),)], "value string").coalesce(1).write.mode("overwrite").text(path)
