@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from string import ascii_lowercase, ascii_uppercase
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -44,13 +47,14 @@ TEMPLATES = [
 SPLIT = "[" + "".join(f"\\x{c:02x}" for c in range(128) if not (48 <= c <= 57 or 97 <= c <= 122)) + "]+"
 
 
-def words_of(text: Column) -> Column:
-    """Lower-case words of letters, digits and characters above ASCII; null counts as empty.
+def words_of(text: Column, lower: Callable[[Column], Column] | None = None) -> Column:
+    """Words of letters, digits and characters above ASCII; null counts as empty.
 
-    lower() also maps letters above ASCII; no character changes from word to separator by that, and no ASCII word
-    of a phrase or template arises from others.
+    A-Z are lower-cased, other letters stay as they are, so that no ASCII word arises from others; or lower is used.
     """
-    return F.array_remove(F.split(F.lower(F.coalesce(text.cast("string"), F.lit(""))), SPLIT), "")
+    given = F.coalesce(text.cast("string"), F.lit(""))
+    small = F.translate(given, ascii_uppercase, ascii_lowercase) if lower is None else lower(given)
+    return F.array_remove(F.split(small, SPLIT), "")
 
 
 def grams(words: Column) -> Column:
@@ -122,7 +126,7 @@ def scan(docs: DataFrame) -> DataFrame:
     """One row per row of docs: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, n_spans.
 
     Null and empty texts have no words, no labels and score 0; columns of docs other than doc_id and text are
-    dropped; spans belong to the doc_id and its text, whether the doc_id is null or repeated. score is 1 with a phrase, else the
+    dropped; spans belong to a row's own text, whether its doc_id is null or repeated. score is 1 with a phrase, else the
     best coverage of a verified span, else 0.
     """
     n = len(PHRASES)
