@@ -14,34 +14,45 @@ from casemill.llm.common import map_batches
 #: Most labelled rows of each class or grade that a fit uses: a fixed bound, taken in the order of a hash of doc_id.
 ROWS_PER_LABEL = 1000
 
-#: Classes or grades that are told apart at most; the rating scale's length, not data.
-MOST_GRADES = 20
+#: Most bytes of these rows' texts for each class or grade: rows past it, in the same order, are left out of the fit.
+BYTES_PER_LABEL = 32_000_000
+#: Longest rating scale; labels of more different values are refused.
+MOST_GRADES = 100
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, features: Callable[[str | None], np.ndarray], rows: int = ROWS_PER_LABEL) -> tuple[list[np.ndarray], np.ndarray]:
     """Feature buckets and labels of a bounded sample of labelled documents.
 
-    The labels (one value per doc_id: the greatest; nulls dropped) are cut to rows per value first, so the join
-    with docs broadcasts a table of a fixed size and no text is shuffled. Of repeated documents each row counts.
+    The labels (one value per doc_id: the greatest; nulls dropped; numbers of any kind) are cut to rows per value
+    first, so the join with docs broadcasts a table of a fixed size and no text is shuffled; of those rows a value's
+    texts are taken up to BYTES_PER_LABEL, the first always. Of repeated documents each row counts.
     """
-    clean = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(column).cast("int").alias("y")).dropna().groupBy("doc_id").agg(F.max("y").alias("y"))
-    parts = [clean.where(F.col("y") == F.lit(v)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows) for v in sorted(x["y"] for x in clean.select("y").distinct().limit(MOST_GRADES).collect())]
+    clean = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(column).cast("double").alias("y")).dropna().groupBy("doc_id").agg(F.max("y").alias("y"))
+    values = sorted(x["y"] for x in clean.select("y").distinct().limit(MOST_GRADES + 1).collect())
+    if len(values) > MOST_GRADES:
+        raise ValueError(f"labels have more than {MOST_GRADES} different values")
+    parts = [clean.where(F.col("y") == F.lit(v)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows) for v in values]
     if not parts:
-        return [], np.empty(0, np.int64)
+        return [], np.empty(0)
     chosen = parts[0]
     for part in parts[1:]:
         chosen = chosen.union(part)
     held = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "y", "text")
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    sizes = held.select("doc_id", "y", size.alias("size")).groupBy("doc_id", "y").agg(F.sum("size").alias("size"))
+    before = F.coalesce(F.sum("size").over(Window.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    within = sizes.withColumn("before", before).where((F.col("before") == 0) | (F.col("before") + F.col("size") <= BYTES_PER_LABEL)).select("doc_id")
+    held = held.join(F.broadcast(within), "doc_id", "left_semi").select("doc_id", "y", "text")
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = [features(x) for x in batch.column(2).to_pylist()]
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int32()))], names=["doc_id", "y", "x"])
 
-    table = map_batches(held, each, "doc_id long, y int, x array<int>").toArrow()
+    table = map_batches(held, each, "doc_id long, y double, x array<int>").toArrow()
     order = np.lexsort((table["y"].to_numpy(), table["doc_id"].to_numpy()))
     x = table["x"].combine_chunks()
     flat, offsets = (x.values.to_numpy(), x.offsets.to_numpy()) if len(x) else (np.empty(0, np.int32), np.zeros(1, np.int32))
-    return [flat[offsets[i] : offsets[i + 1]] for i in order], table["y"].to_numpy()[order].astype(np.int64)
+    return [flat[offsets[i] : offsets[i + 1]] for i in order], table["y"].to_numpy()[order]
 
 
 class Design:

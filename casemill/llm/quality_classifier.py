@@ -119,10 +119,10 @@ def grade(docs: DataFrame, model: Model, tail: float = 0.5) -> DataFrame:
                 continue
             tails = m.tails(text) if len(m.thresholds) else np.empty(0)
             p = -np.diff(np.concatenate([[1.0], tails, [0.0]]))
-            rows.append((float(p @ m.grades), float(tails[0]) if len(tails) else 1.0, int(m.grades[int(p.argmax())])))
+            rows.append((float(p @ m.grades), float(tails[0]) if len(tails) else 1.0, float(m.grades[int(p.argmax())])))
         columns = list(zip(*rows, strict=True)) or [(), (), ()]
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(columns[0], pa.float64()), pa.array(columns[1], pa.float64()), pa.array(columns[2], pa.int32())], names=["doc_id", "e", "t", "p"])
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(columns[0], pa.float64()), pa.array(columns[1], pa.float64()), pa.array(columns[2], pa.float64())], names=["doc_id", "e", "t", "p"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    found = map_batches(docs.select("doc_id", F.col("text").cast("string").alias("text")), each, f"doc_id {kind}, e double, t double, p int")
+    found = map_batches(docs.select("doc_id", F.col("text").cast("string").alias("text")), each, f"doc_id {kind}, e double, t double, p double")
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("e").alias("expected_grade"), F.col("t").alias("tail_probability"), F.col("p").alias("predicted"), (F.col("t") >= tail).alias("selected"))

@@ -1,4 +1,4 @@
-"""Toxicity: a linear classifier of character n-grams scaled by naive Bayes log-count ratios."""
+"""Toxicity: a linear classifier of character n-grams, inside words, scaled by naive Bayes log-count ratios."""
 
 from __future__ import annotations
 
@@ -11,11 +11,11 @@ from pyspark.sql import functions as F
 
 from casemill.llm.common import map_batches
 from casemill.llm.fitting import ROWS_PER_LABEL, Design, adam, labelled_sample, row_score, sigmoid
-from casemill.llm.ngrams import BITS, buckets
+from casemill.llm.ngrams import WORD_BITS, word_grams
 
 #: One row in FOLDS is held out of training.
 FOLDS = 5
-STEPS, RATE, RIDGE = 50, 0.05, 1e-4
+STEPS, RATE, RIDGE = 100, 0.05, 1e-4
 
 
 @dataclass
@@ -24,14 +24,14 @@ class Model:
     bias: float
 
     def score(self, text: str | None) -> float:
-        return float(sigmoid(np.float64(row_score(buckets(text), self.weights) + self.bias)))
+        return float(sigmoid(np.float64(row_score(word_grams(text), self.weights) + self.bias)))
 
 
 def held_out(doc_id: Column) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(FOLDS)) == 0
 
 
-def log_count_ratios(rows: list[np.ndarray], y: np.ndarray, bits: int = BITS) -> np.ndarray:
+def log_count_ratios(rows: list[np.ndarray], y: np.ndarray, bits: int = WORD_BITS) -> np.ndarray:
     """Per bucket, the log ratio of its smoothed share of toxic rows to that of others."""
     both = []
     for label in (1, 0):
@@ -49,10 +49,10 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = ROWS_PER_LABEL) -> Mod
     With no labelled rows, or of one class only, the model is constant: 0.5 is never reached without toxic rows
     and always with nothing else.
     """
-    x, y = labelled_sample(docs, labels.where(~held_out(F.col("doc_id"))), "toxic", buckets, rows)
+    x, y = labelled_sample(docs, labels.where(~held_out(F.col("doc_id"))), "toxic", word_grams, rows)
     y = (y > 0).astype(np.int64)
     if len(set(y.tolist())) < 2:
-        return Model(np.zeros(1 << BITS, np.float32), 5.0 if len(y) and y[0] else -5.0)
+        return Model(np.zeros(1 << WORD_BITS, np.float32), 5.0 if len(y) and y[0] else -5.0)
     ratio = log_count_ratios(x, y)
     design, weight = Design(x, ratio), np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean())) / len(y)
 
