@@ -13,14 +13,24 @@ import numpy as np
 PATH_SIZE, WORD_SIZE = 256, 32
 WIDTH = PATH_SIZE + WORD_SIZE + 5
 
-# Elements whose content is no text of the page, and elements that stay inside a block.
-HIDDEN = frozenset("script style noscript template svg math head title iframe object canvas audio video select textarea".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark q ruby rp rt s samp small span strike strong sub sup time tt u var wbr".split())
+# Elements whose content is no text of the page, those of them that are read to their end tag as they
+# stand, and elements that stay inside a block.
+HIDDEN = frozenset("script style noscript template svg head title iframe object canvas audio video select textarea annotation".split())
+RAW = frozenset("script style title textarea iframe".split())
+INLINE = frozenset(
+    "a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark q ruby rp rt s samp small span strike strong sub sup time tt u var wbr "
+    "math mi mn mo ms mtext mrow mfrac msup msub msubsup msqrt mroot munder mover munderover mfenced mspace mstyle semantics".split()
+)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: An opening tag of the key ends an open element of the values, up to the nearest of the stops.
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
+#: Elements that may stand in a hidden one without an end tag; any other ends it.
+INSIDE = {"select": frozenset({"option", "optgroup", "hr"}), "head": frozenset("base link meta title style script noscript template".split())}
+#: Nearest tokens of a block's tag path.
+PATH_TOKENS = 48
 
-_MARK = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)/?>", re.S)
+# A quote opens a value after an equals sign only; elsewhere in a tag it is a character like any other.
+_MARK = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?>(?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*))>", re.S)
 _NAMED = re.compile(r"(?:class|id|role|itemprop|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _PARTS = re.compile(r"[A-Za-z][a-z]+|[A-Z]+")
 
@@ -41,76 +51,96 @@ def leaf_blocks(html: str | None) -> list[Block]:
     """Blocks with text in page order: references decoded, white space made one space, ends trimmed.
 
     Elements that hold blocks end a block at both tags; inline elements and line breaks do not. Hidden elements are
-    passed over; a missing end tag holds to the end of its parent. Null and empty pages have no blocks.
+    passed over: scripts, styles, titles, text areas and frames up to their end tags or else the page's end, others up
+    to their own or their parent's end. One of these others that has no end tag at all hides nothing but what may stand
+    in it, and one of either kind that is closed in itself (scripts aside) hides nothing. Null and empty pages have no blocks. The work grows with the page's length.
     """
     page, out = html or "", []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    last = page.rfind(">")  # behind it no tag ends
+    stack: list[tuple[str, tuple[str, ...], bool]] = []  # tag, nearest path tokens, hidden with its ancestors
+    opened: dict[str, int] = {}
+    ended: dict[str, int] = {}  # where a tag's last end tag stands
     pending: list[str] = []
     links = linked = at = 0
-    path: tuple[str, ...] = ()
+    bare = ""  # a hidden element without an end tag that is passed over
 
     def flush() -> None:
         nonlocal linked
         if pending:
             text = " ".join(unescape("".join(pending)).split())
             if text:
-                out.append(Block(text, path, linked))
+                out.append(Block(text, stack[-1][1] if stack else (), linked))
             pending.clear()
         linked = 0
 
-    def reset() -> None:
-        nonlocal path
-        path = tuple(x for _, names in stack for x in names)
-
     def close(i: int) -> None:
+        for tag, _, _ in stack[i:]:
+            opened[tag] -= 1
         del stack[i:]
-        reset()
+
+    def ends_later(tag: str) -> bool:
+        if tag not in ended:
+            ended[tag] = max((m.start() for m in re.finditer(rf"</{re.escape(tag)}[\s>]", page, re.I)), default=-1)
+        return ended[tag] >= at
 
     while at < len(page):
-        m = _MARK.search(page, at)
+        m = _MARK.search(page, at) if at <= last or "<!" in page[at:] else None
         # A mark that no tag follows is text.
         text = page[at : m.start() if m else len(page)]
-        if text:
+        if text and not bare and not (stack and stack[-1][2]):
             pending.append(text)
             if links:
                 linked += len(text)
         if not m:
             break
         at = m.end()
+        shown = not bare and not (stack and stack[-1][2])
         if m[2] is None:
-            if m[0].startswith("<![CDATA["):
+            if m[0].startswith("<![CDATA[") and shown:
                 pending.append(m[0][9:].removesuffix("]]>"))
             continue
         tag = m[2].lower()
+        if bare and tag not in INSIDE[bare]:
+            bare = ""
         if tag in INLINE:
             if tag == "br":
                 pending.append(" ")
             elif tag == "a":
                 links = max(0, links + (-1 if m[1] else 1))
             continue
+        if tag == "annotation" and not m[1]:
+            # Inside a formula: its text goes, the block goes on.
+            end = re.compile(r"</annotation\s*>", re.I).search(page, at)
+            at = end.end() if end else at
+            continue
         flush()
         links = 0
         if m[1]:
-            i = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-            if i is not None:
+            if opened.get(tag):
+                i = len(stack) - 1
+                while stack[i][0] != tag:
+                    i -= 1
                 close(i)
-        elif tag in HIDDEN:
+        elif tag in RAW and (tag == "script" or not m[3].endswith("/")):
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-            if tag == "head" and not end:
-                continue
             at = end.end() if end else len(page)
-        elif tag not in VOID:
+        elif tag not in VOID and not (tag in HIDDEN and m[3].endswith("/")):
+            if tag in HIDDEN and not ends_later(tag):
+                bare = tag if tag in INSIDE else ""
+                continue
             if stack and stack[-1][0] == "p":
                 close(len(stack) - 1)
-            ends, stops = ENDS.get(tag, ((), ()))
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in ends:
-                    close(i)
-                    break
-                if stack[i][0] in stops:
-                    break
-            stack.append((tag, _tokens(tag, m[3])))
-            path += stack[-1][1]
+            inner, stops = ENDS.get(tag, ((), ()))
+            if any(opened.get(x) for x in inner):
+                for i in range(len(stack) - 1, -1, -1):
+                    if stack[i][0] in inner:
+                        close(i)
+                        break
+                    if stack[i][0] in stops:
+                        break
+            above = stack[-1] if stack else ("", (), False)
+            stack.append((tag, (above[1] + _tokens(tag, m[3]))[-PATH_TOKENS:], above[2] or tag in HIDDEN))
+            opened[tag] = opened.get(tag, 0) + 1
     flush()
     return out
 

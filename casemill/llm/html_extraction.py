@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,14 +11,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from casemill.llm.common import sliced
 from casemill.llm.html_blocks import WIDTH, leaf_blocks, vectors
 
 HIDDEN_SIZE = 16
 #: Generated pages that the labeller is trained on, pages in a step, and passes over them.
 TRAIN_PAGES, STEP_PAGES, PASSES = 1500, 32, 8
 SEED = 9
-#: Pages of an Arrow batch, which are labelled together.
-PAGES = 128
+#: Share of the training pages whose parts have names of no meaning.
+RENAMED = 0.3
+#: Pages that are labelled together, and blocks, shorter pages counted as the longest of their step; a longer page runs alone.
+PAGES, STEP_BLOCKS = 128, 16_384
 
 # Names that pages give to their parts, for the generated training pages.
 PARTS = {
@@ -114,6 +118,16 @@ def generated_page(draw: np.random.Generator) -> tuple[str, list[int]]:
     return f"<html><head><title>x</title></head><body>{page}</body></html>", labels
 
 
+def renamed(page: str, draw: np.random.Generator) -> str:
+    """The page with other names for its classes and ids, each the same throughout, so that tags, words and places have to tell."""
+    names: dict[str, str] = {}
+
+    def other(m: re.Match) -> str:
+        return f'{m[1]}="{names.setdefault(m[2], "".join(map(chr, draw.integers(97, 123, 6))))}"'
+
+    return re.sub(r'(class|id)="([^"]*)"', other, page)
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-x))
 
@@ -163,8 +177,12 @@ def label(w: dict[str, np.ndarray], pages: list[np.ndarray]) -> list[np.ndarray]
     """Probability that each block of each page is main text; pages of like lengths run together."""
     out: list[np.ndarray] = [np.empty(0)] * len(pages)
     order = [k for k in np.argsort([len(p) for p in pages], kind="stable").tolist() if len(pages[k])]
-    for at in range(0, len(order), STEP_PAGES):
+    at = 0
+    while at < len(order):
         own = order[at : at + STEP_PAGES]
+        while len(own) > 1 and len(own) * len(pages[own[-1]]) > STEP_BLOCKS:
+            own = own[: len(own) // 2]
+        at += len(own)
         x, mask = _padded([pages[k] for k in own])
         both = np.concatenate([_run(w, side, x, mask, False)[0] for side in "fr"], axis=2)
         p = _sigmoid(both @ w["y"] + w["yb"])
@@ -180,7 +198,7 @@ def trained() -> dict[str, np.ndarray]:
     rows, paths, words = [], {}, {}
     for _ in range(TRAIN_PAGES):
         page, labels = generated_page(draw)
-        blocks = leaf_blocks(page)
+        blocks = leaf_blocks(renamed(page, draw) if draw.random() < RENAMED else page)
         if len(blocks) == len(labels) and labels:
             rows.append((vectors(blocks, paths, words), np.array(labels, np.float32)))
     n = HIDDEN_SIZE
@@ -228,7 +246,7 @@ def extract(pages: DataFrame, weights: dict[str, np.ndarray] | None = None) -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         paths: dict = {}
         words: dict = {}
-        for batch in batches:
+        for batch in sliced(batches, PAGES):
             blocks = [leaf_blocks(x) for x in batch.column(2).to_pylist()]
             p = label(w, [vectors(b, paths, words) for b in blocks])
             texts = ["\n".join(x.text for x, main in zip(b, q, strict=True) if main >= 0.5) for b, q in zip(blocks, p, strict=True)]
