@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from casemill.llm.common import components, cut, map_batches
@@ -134,19 +135,40 @@ def _tries(rows: dict[str, np.ndarray], budget: int) -> pa.RecordBatch | None:
     return pa.RecordBatch.from_arrays([pa.array(rows["id"][at]), pa.array(rows["id"][label[at]])], names=["a", "b"])
 
 
+def blocks_needed(n: int, budget: int) -> int:
+    """How many equal blocks a linked pair is sought by: the fewest that leave TRIE_ROWS of n random fingerprints to a value, 4 at most."""
+    more = 1
+    while more < 4 and n > TRIE_ROWS << (64 * more // (budget + more)):
+        more += 1
+    return more
+
+
+def _leading(budget: int, more: int) -> list[Column]:
+    """A key for each choice of so many of budget + more blocks of bits: the choice's number and the chosen bits."""
+    count = budget + more
+    edges = [round(64 * i / count) for i in range(count + 1)]
+    masks = [((1 << (hi - lo)) - 1) << lo for lo, hi in zip(edges, edges[1:], strict=False)]
+    keys = []
+    for i, chosen in enumerate(combinations(masks, more)):
+        mask = sum(chosen)
+        bits = F.col("fp").bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask))
+        # One block of up to 32 bits is its own key; wider choices are hashed, and a clash only adds comparisons.
+        keys.append(F.shiftrightunsigned(bits, edges[i]) + F.lit(i << 58) if more == 1 else F.xxhash64(F.lit(i), bits))
+    return keys
+
+
 def links(points: DataFrame, budget: int = BUDGET) -> DataFrame:
     """Edges (a, b) that connect all fingerprints within budget bits; points: distinct fp with an id each.
 
-    The trie's top is shared out by Spark: of budget + 1 blocks of bits at least one is equal in a linked pair,
-    so each block in turn leads the bits, and every value of it is one trie in one task. A block value with
-    more than TRIE_ROWS fingerprints is split into chunks; every pair of chunks is joined, each in its own group.
-    A task returns a spanning forest, never all pairs. budget: 15 at most.
+    The trie's top is shared out by Spark: of budget + more blocks of bits at least more are equal in a linked pair, so
+    each choice of more blocks in turn leads the bits, and every value of them is one trie in one task. more is 1, and
+    as much larger as the number of fingerprints asks for, so that values stay rare enough at any size. A value with
+    more than TRIE_ROWS fingerprints all the same is split into chunks; every pair of chunks is joined, each in its own
+    group. A task returns a spanning forest, never all pairs. budget: 15 at most.
     """
     if budget == 0:  # points are distinct
         return points.where(F.lit(False)).select(F.col("id").alias("a"), F.col("id").alias("b"))
-    edges = [round(64 * i / (budget + 1)) for i in range(budget + 2)]
-    blocks = [F.shiftrightunsigned(F.col("fp"), lo).bitwiseAND((1 << (hi - lo)) - 1) + F.lit(i << 58) for i, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False))]
-    keyed = points.select("id", "fp", F.explode(F.array(*blocks)).alias("key"))
+    keyed = points.select("id", "fp", F.explode(F.array(*_leading(budget, blocks_needed(points.count(), budget)))).alias("key"))
     large = keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > TRIE_ROWS)
     chunks = F.ceil(F.coalesce(F.col("n"), F.lit(1)) / F.lit(TRIE_ROWS)).cast("int")
     own = F.when(F.col("n").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("id"), chunks).cast("int"))
