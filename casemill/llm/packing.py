@@ -201,22 +201,22 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) ->
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     Pieces are dealt evenly over parts by a hash and packed there; bins with more than SLACK places left are opened
-    again, and their pieces, far fewer, are packed in fewer parts, until one part is left. An empty document is one
+    again, and their pieces, dealt anew, are packed in fewer parts. That ends with the level that has one part, or that
+    has closed less than a tenth of its pieces: no part ever holds more than about PART_ROWS. An empty document is one
     piece of its end mark; repeated rows are packed each; a null doc_id is kept; other columns of docs are dropped.
     An empty table gives an empty result.
     """
     rows = cut(pieces(docs, tokenizer, capacity), "pieces")
-    done, level, most = None, 0, None
+    done, level, left = None, 0, None
     while True:
         n = rows.count()
         n_parts = max(1, ceil(n / PART_ROWS))
-        # Each level has at most half the parts of the last, so it ends; one part packs all that is left of the last two.
-        n_parts = n_parts if most is None else max(1, min(n_parts, most // 2))
         table = cut(_packed(rows, n_parts, level, capacity), "packed")
-        last = n_parts == 1
+        # Lengths that don't combine, as many copies of one over half the capacity, are left by any number of levels.
+        last = n_parts == 1 or (left is not None and 10 * n > 9 * left)
         full = table if last else table.where(F.col("free") <= SLACK)
         done = full if done is None else done.unionByName(full)
         if last:
             return done.drop("free")
         rows = table.where(F.col("free") > SLACK).select("doc_id", "piece", "start", "length", "ids_crc32")
-        level, most = level + 1, n_parts
+        level, left = level + 1, n
