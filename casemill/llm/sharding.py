@@ -17,6 +17,8 @@ LINE_CHARS = 20
 NODE_SHARE = 1 / 8
 #: Rows that are numbered by one window.
 BUCKET_ROWS = 10_000
+#: Nodes of a line that are joined with its vote by one task; lines with more are dealt over several keys.
+HUB_NODES = 5_000
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -27,6 +29,7 @@ def _rows(docs: DataFrame) -> DataFrame:
         (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"),
         F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"),
         F.xxhash64(text, text.isNull()).alias("copy"),
+        F.monotonically_increasing_id().alias("at"),  # tells rows apart that share an id; it is written once
     )
 
 
@@ -35,13 +38,18 @@ def _pick(values: list[int], index: Column) -> Column:
 
 
 def _links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node, hub: nodes that hold a line which at least one other node holds too."""
+    """node, hub, part, parts: nodes that hold a line (hub) which at least one other node holds too; a hub's nodes are dealt over its parts."""
     text = F.col("text").cast("string")
     lines = docs.select(F.xxhash64(text, text.isNull()).alias("copy"), F.explode(F.split(text, "\n")).alias("raw"))
     held = lines.where(F.length("raw") >= LINE_CHARS).select("copy", F.xxhash64("raw").alias("hub")).distinct()
     placed = held.join(nodes.select("copy", "node"), "copy").select("node", "hub")
     shared = placed.groupBy("hub").agg(F.count("*").alias("n")).where(F.col("n") > 1)
-    return placed.join(shared.select("hub"), "hub").select("node", "hub")
+    # Very common lines are few; their number of nodes is bounded from below, so the table of them is small and may be broadcast.
+    hot = shared.where(F.col("n") > HUB_NODES).select("hub", F.ceil(F.col("n") / HUB_NODES).cast("int").alias("parts"))
+    rare = shared.where(F.col("n") <= HUB_NODES).select("hub")
+    dealt = placed.join(hot, "hub").withColumn("part", F.pmod(F.xxhash64("node", F.lit(3)), F.col("parts")).cast("int"))
+    single = placed.join(hot, "hub", "left_anti").join(rare, "hub").select("hub", "node", F.lit(1).alias("parts"), F.lit(0).alias("part"))
+    return single.unionByName(dealt).select("node", "hub", "part", "parts")
 
 
 def _allowed(wanted: dict[tuple[int, int], int], room: list[int]) -> dict[tuple[int, int], float]:
@@ -75,15 +83,16 @@ def assign(docs: DataFrame, n_shards: int = SHARDS, rounds: int = ROUNDS) -> Dat
     most = max(1, int(total / n_shards * NODE_SHARE))
     large = rows.groupBy("copy").agg(F.count("*").alias("n")).where(F.col("n") > most).select("copy", F.ceil(F.col("n") / most).cast("int").alias("k"))
     salted = rows.join(F.broadcast(large), "copy", "left")
-    node = F.when(F.col("k").isNull(), F.col("copy")).otherwise(F.xxhash64("copy", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.col("k"))))
-    rows = cut(salted.select("doc_id", "size", "text_crc32", "copy", node.alias("node")), "shard-rows")
+    node = F.when(F.col("k").isNull(), F.col("copy")).otherwise(F.xxhash64("copy", F.pmod(F.xxhash64("doc_id", "at", F.lit(7)), F.col("k"))))
+    rows = cut(salted.select("doc_id", "size", "text_crc32", "copy", "at", node.alias("node")), "shard-rows")
     nodes = rows.groupBy("node").agg(F.min("copy").alias("copy"), F.count("*").alias("w"))
     state = cut(nodes.withColumn("shard", F.pmod(F.xxhash64("node", F.lit(1)), F.lit(n_shards)).cast("int")), "shard-state")
     links = cut(_links(docs, state), "shard-links")
     for turn in range(rounds):
         placed = links.join(state.select("node", "shard", "w"), "node")
-        votes = placed.groupBy("hub", "shard").agg(F.sum("w").alias("n")).groupBy("hub").agg(F.max(F.struct("n", (-F.col("shard")).alias("low"))).alias("top"))
-        asked = links.join(votes.select("hub", (-F.col("top.low")).alias("to")), "hub").groupBy("node", "to").agg(F.count("*").alias("n"))
+        votes = placed.groupBy("hub", "parts", "shard").agg(F.sum("w").alias("n")).groupBy("hub", "parts").agg(F.max(F.struct("n", (-F.col("shard")).alias("low"))).alias("top"))
+        heard = votes.select("hub", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), (-F.col("top.low")).alias("to"))
+        asked = links.join(heard, ["hub", "part"]).groupBy("node", "to").agg(F.count("*").alias("n"))
         wish = asked.groupBy("node").agg(F.max(F.struct("n", (-F.col("to")).alias("low"))).alias("top")).select("node", (-F.col("top.low")).alias("to"))
         wished = cut(state.join(wish, "node", "left").withColumn("to", F.coalesce("to", "shard")), "shard-wishes")
         flows = wished.groupBy("shard", "to").agg(F.sum("w").alias("n")).collect()
@@ -100,8 +109,11 @@ def assign(docs: DataFrame, n_shards: int = SHARDS, rounds: int = ROUNDS) -> Dat
     linked = links.select("node").distinct().withColumn("linked", F.lit(True))
     loose = (F.col("w") == 1) & F.col("linked").isNull()
     n_buckets = max(1, ceil(total / n_shards / BUCKET_ROWS))
-    bucket = F.pmod(F.xxhash64("node", F.lit(2)), F.lit(n_buckets)) + F.when(loose, n_buckets).otherwise(0)
-    placed = cut(rows.join(state.join(linked, "node", "left").select("node", "shard", bucket.alias("bucket")), "node"), "shard-placed")
+    # A node of many rows goes to many buckets; its rows stay in its shard all the same.
+    own = F.when(F.col("w") > BUCKET_ROWS / 4, F.xxhash64("doc_id", "at", F.lit(2))).otherwise(F.xxhash64("node", F.lit(2)))
+    bucket = F.pmod(own, F.lit(n_buckets)) + F.when(F.col("loose"), n_buckets).otherwise(0)
+    kept = state.join(linked, "node", "left").select("node", "shard", "w", loose.alias("loose"))
+    placed = cut(rows.join(kept, "node").withColumn("bucket", bucket).drop("w", "loose", "at"), "shard-placed")
     return _exact(placed, quota)
 
 
