@@ -166,6 +166,12 @@ def report_sections(df: DataFrame, columns: list[str], issues: list[str]) -> Dat
     return counts.select("section", "name", "n", (F.floor(F.col("n") * 1000.0 / (whole / per) + 0.5) / 10.0).alias("percent"))
 
 
+def cell_sizes(df: DataFrame, columns: list[str]) -> DataFrame:
+    """cell, n: rows by the columns' values, joined by hyphens; nulls are UNKNOWN."""
+    cell = F.concat_ws("-", *[F.coalesce(F.col(c).cast("string"), F.lit("UNKNOWN")) for c in columns])
+    return df.groupBy(cell.alias("cell")).agg(F.count("*").alias("n"))
+
+
 def issue_flags(df: DataFrame, bounds: dict[str, float]) -> DataFrame:
     """name, rate, flagged: of each issue the share of rows that have it, and whether that is over its bound."""
     rates = df.agg(*[F.avg(F.coalesce(F.col(c), F.lit(False)).cast("double")).alias(c) for c in bounds])

@@ -14,12 +14,12 @@ from casemill.operators import generation as G
 from casemill.operators import joins as J
 from casemill.operators import mutations as M
 from casemill.operators import validation as V
-from casemill.operators.windows import numbered
+from casemill.operators.windows import first_of_each, numbered
 from casemill.plans.curation import questions
 from casemill.plans.registry import query
 from casemill.plans.scoring import _CASES_SQL, _FOUND_SQL, _cases
 from casemill.sources import sinks
-from casemill.sources.readers import table
+from casemill.sources.readers import ideas, parsed_responses, table
 
 # ---- sorts, filters, joins
 
@@ -386,3 +386,38 @@ def report_sections(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH e AS ({_EVALUATED}), s AS (SELECT 'mismatch' AS name, avg(mismatch::INT) AS rate, 0.1 AS bound FROM e UNION ALL SELECT 'ambiguous', avg(ambiguous::INT), 0.2 FROM e) SELECT name, rate, rate > bound AS flagged FROM s""")
 def report_flags(spark: SparkSession, d: str) -> DataFrame:
     return A.issue_flags(_evaluations(spark, d), {"mismatch": 0.1, "ambiguous": 0.2})
+
+
+@query(f"WITH e AS ({_EVALUATED}) SELECT level || '-' || verdict AS cell, count(*) AS n FROM e GROUP BY 1")
+def report_cells(spark: SparkSession, d: str) -> DataFrame:
+    return A.cell_sizes(_evaluations(spark, d), ["level", "verdict"])
+
+
+# ---- answers of outside services, in text
+
+
+@query("""SELECT o_orderkey::VARCHAR AS custom_id, o_orderkey % 5 = 0 OR o_orderkey % 7 = 0 AS failed, CASE WHEN o_orderkey % 5 <> 0 AND o_orderkey % 7 <> 0 THEN o_orderkey / 2.0 END AS clarity,
+ CASE WHEN o_orderkey % 5 <> 0 AND o_orderkey % 7 <> 0 THEN o_orderpriority END AS notes FROM orders""")
+def batch_answers(spark: SparkSession, d: str) -> DataFrame:
+    key = F.col("o_orderkey")
+    said = F.concat(F.lit("Here you are: "), F.to_json(F.struct((key / 2).alias("scenarioClarityScore"), F.col("o_orderpriority").alias("notes"))), F.lit(" as asked"))
+    choices = F.when(key % 7 != 0, F.array(F.struct(F.struct(said.alias("content")).alias("message"))))
+    raw = table(spark, d, "orders", "o_orderkey", "o_orderpriority").select(
+        key.cast("string").alias("custom_id"), F.when(key % 5 == 0, F.struct(F.lit("down").alias("message"))).alias("error"), F.struct(F.struct(F.when(key % 5 != 0, choices).alias("choices")).alias("body")).alias("response")
+    )
+    return parsed_responses(raw).select("custom_id", "failed", F.col("scenarioClarityScore").alias("clarity"), "notes")
+
+
+@query("""SELECT o_orderkey || '-' || i AS id, o_orderpriority AS topic, 'medium' AS difficulty, CASE WHEN i = 1 THEN 2 ELSE 0 END::INTEGER AS n_entities FROM orders, range(1, 3) r(i) WHERE o_orderkey % 4 <> 0""")
+def seed_ideas(spark: SparkSession, d: str) -> DataFrame:
+    key = F.col("o_orderkey").cast("string")
+    first = F.concat(F.lit('{"id":"'), key, F.lit('-1","topic":"'), "o_orderpriority", F.lit('","entities":["a","b"]}'))
+    second = F.concat(F.lit('{"id":"'), key, F.lit('-2","topic":"'), "o_orderpriority", F.lit('"}'))
+    answer = F.when(F.col("o_orderkey") % 4 == 0, "I can't").otherwise(F.concat(F.lit("Sure:\n["), first, F.lit(","), second, F.lit("]\nDone")))
+    rows = ideas(table(spark, d, "orders", "o_orderkey", "o_orderpriority").select(answer.alias("answer")))
+    return rows.select("id", "topic", "difficulty", F.size("entities").alias("n_entities"))
+
+
+@query("SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events) WHERE k = 1")
+def first_rows(spark: SparkSession, d: str) -> DataFrame:
+    return first_of_each(table(spark, d, "events", "user_id", "event_id", "event_type", "ts"), ["user_id"], [F.col("ts"), F.col("event_id")]).select("user_id", "event_id", "event_type")

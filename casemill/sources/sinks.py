@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, DataType, IntegralType, NumericType, StructType
 
 from casemill.functions import cases, vocab
+from casemill.operators import aggregates
 from casemill.operators.windows import numbered
 
 
@@ -194,6 +195,10 @@ def latex_table(df: DataFrame, most: int = 200) -> str:
     return "\n".join([f"\\begin{{tabular}}{{{'l' * len(df.columns)}}}", line(df.columns), "\\hline", *(line(r) for r in rows), "\\end{tabular}"])
 
 
+# The issues that a report counts, and the share of cases above which one asks for action.
+REPORT_ISSUES = {"pearlLevelMismatch": 0.1, "trapTypeMismatch": 0.1, "groundTruthMismatch": 0.1, "hasAmbiguity": 0.2, "hasLogicalIssues": None, "hasDomainErrors": None}
+
+
 def text_table(df: DataFrame, most: int = 200) -> str:
     """A small result as columns of text, each as wide as its longest value."""
     rows = df.limit(most + 1).collect()
@@ -209,6 +214,39 @@ def report(title: str, sections: dict[str, DataFrame]) -> str:
     return "\n\n".join([f"# {title}", *(f"## {name}\n\n{markdown_table(df)}" for name, df in sections.items())])
 
 
+def evaluation_report(e: DataFrame, title: str = "Evaluation report", most: int = 50) -> str:
+    """Markdown report of evaluated cases, in sections A to E.
+
+    e: overallVerdict, pearlLevel, groundTruth, trapType, the mismatch and issue flags of REPORT_ISSUES, clarityScore,
+    reportTags (a JSON array in text), priorityLevel, sourceCase, scenario, suggestedCorrections. Tables are worked out
+    by Spark; of urgent cases the first most by name are listed, and how many there are is said.
+    """
+    total = e.count()
+    if not total:
+        return f"# {title}\n\nNo cases were evaluated.\n"
+    share = lambda n: f"{n} ({n * 100 / total:.1f} %)"
+    found = aggregates.report_sections(e, ["overallVerdict", "pearlLevel", "groundTruth", "trapType"], list(REPORT_ISSUES)).collect()
+    table = lambda section: [f"| {x['name']} | {share(x['n'])} |" for x in sorted((x for x in found if x["section"] == section), key=lambda x: (-x["n"], x["name"] or ""))]
+    n = {(x["section"], x["name"]): x["n"] for x in found}
+    out = [f"# {title}", f"{total} cases evaluated.", "## (A) Structural check"]
+    for section, name in (("overallVerdict", "Verdict"), ("pearlLevel", "Level"), ("groundTruth", "Label"), ("trapType", "Trap type"), ("issue", "Issue")):
+        out.append("\n".join([f"| {name} | Cases |", "|---|---|", *table(section)]))
+    clarity = e.agg(F.avg("clarityScore")).first()[0]
+    out += [f"Mean clarity: {'-' if clarity is None else f'{clarity:.2f}'} of 5.", "## (B) Tags"]
+    tags = aggregates.tag_counts(e, "reportTags").orderBy(F.col("n").desc(), "tag").limit(most).collect()
+    out += ["\n".join(f"- {x['tag']}: {x['n']}" for x in tags) or "None.", "## (C) Cases to look at"]
+    urgent = e.where(F.col("priorityLevel") == 1)
+    rows = urgent.select("sourceCase", cases.shortened("scenario", 100).alias("scenario"), F.coalesce("suggestedCorrections", F.lit("")).alias("what")).orderBy("sourceCase").limit(most).collect()
+    normal = e.where((F.col("priorityLevel") == 2) & ~F.col("overallVerdict").eqNullSafe("APPROVED")).count()
+    out += [f"{urgent.count()} urgent.", "\n".join(f"- {x['sourceCase']}: {x['scenario']} {x['what']}".rstrip() for x in rows), f"{normal} for the usual review.", "## (D) Cell sizes"]
+    cells = aggregates.cell_sizes(e, ["pearlLevel", "groundTruth"]).orderBy("cell").limit(most).collect()
+    bad = sum(n.get(("overallVerdict", v), 0) for v in ("NEEDS_REVIEW", "REJECTED"))
+    out += ["\n".join(f"- {x['cell']}: {x['n']}" + (" (under 30)" if x["n"] < 30 else "") for x in cells), f"With issues: {share(bad)}.", "## (E) Recommendations"]
+    flags = {x["name"]: x["flagged"] for x in aggregates.issue_flags(e, {k: v for k, v in REPORT_ISSUES.items() if v}).collect()}
+    out.append("\n".join(f"- {name}: {'above' if flagged else 'within'} its bound of {REPORT_ISSUES[name]:.0%}" for name, flagged in flags.items()))
+    return "\n\n".join(x for x in out if x) + "\n"
+
+
 def write_results(results: DataFrame, state: dict, path: str) -> None:
     """A scoring run's results, one object a line, and beside them its state as one JSON object."""
     write_json(results, f"{path}/results")

@@ -157,3 +157,17 @@ def test_progress_by_window(spark, tmp_path):
     counts.writeStream.format("memory").queryName("progress").outputMode("complete").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
     rows = spark.table("progress").collect()
     assert sum(x["n"] for x in rows) == 2 and sum(x["failed"] for x in rows) == 1
+
+
+def test_evaluation_report(spark):
+    rows = [
+        ("APPROVED", "L1", "YES", "W1", False, False, False, False, False, False, 5, '["clear"]', 3, "1.1", "s" * 200, None),
+        ("REJECTED", "L1", "YES", "W1", True, None, False, True, False, False, 2, '["vague","clear"]', 1, "1.2", "wet streets", "say when"),
+        ("NEEDS_REVIEW", "L2", "NO", None, False, False, False, False, False, True, None, "not json", 2, "1.3", None, None),
+    ]
+    names = "overallVerdict string, pearlLevel string, groundTruth string, trapType string, pearlLevelMismatch boolean, trapTypeMismatch boolean, groundTruthMismatch boolean, hasAmbiguity boolean, hasLogicalIssues boolean, hasDomainErrors boolean, clarityScore int, reportTags string, priorityLevel int, sourceCase string, scenario string, suggestedCorrections string"
+    text = sinks.evaluation_report(spark.createDataFrame(rows, names))
+    for part in ("3 cases evaluated.", "| APPROVED | 1 (33.3 %) |", "| W1 | 2 (66.7 %) |", "| hasAmbiguity | 1 (33.3 %) |", "Mean clarity: 3.50", "- clear: 2", "1 urgent.", "- 1.2: wet streets... say when", "1 for the usual review.", "- L1-YES: 2 (under 30)", "With issues: 2 (66.7 %).", "pearlLevelMismatch: above", "trapTypeMismatch: within", "hasAmbiguity: above"):
+        assert part in text, part
+    assert [text.index(f"({x})") for x in "ABCDE"] == sorted(text.index(f"({x})") for x in "ABCDE")
+    assert "No cases" in sinks.evaluation_report(spark.createDataFrame([], names))
