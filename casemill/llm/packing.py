@@ -24,7 +24,7 @@ END_ID = 1
 #: Pieces that are packed together; parts of this size are packed side by side.
 PART_ROWS = 20000
 #: The emptiest bins among which swaps are sought at a time.
-NEIGHBOURS = 256
+NEIGHBOURS = 2048
 #: Bins with more free places than this are opened again and packed with those of other parts.
 SLACK = 16
 #: Distinct chunks whose ids a task remembers, and the longest that it remembers.
@@ -165,8 +165,12 @@ def _improve(near: list[list[int]], size: list[int], capacity: int) -> bool:
     return False
 
 
-def pack(lengths: np.ndarray, capacity: int = CAPACITY, moves: int = 400) -> list[list[int]]:
-    """Bins of indexes of lengths, none over capacity: best fit, then up to moves swaps of a local search."""
+def pack(lengths: np.ndarray, capacity: int = CAPACITY, moves: int = 300) -> list[list[int]]:
+    """Bins of indexes of lengths, none over capacity: best fit, then swaps of a local search.
+
+    The search ends when the bins are as few as the lengths' sum allows, when no move among the NEIGHBOURS emptiest
+    bins is left, or after so many moves: bounds on the work, which leave every piece in a bin.
+    """
     size, bins = [int(x) for x in lengths], best_fit(lengths, capacity)
     least = ceil(sum(size) / capacity)
     order = sorted(range(len(bins)), key=lambda b: sum(size[i] for i in bins[b]))

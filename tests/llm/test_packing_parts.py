@@ -40,3 +40,8 @@ def test_swaps_beat_best_fit():
         assert sorted(i for b in bins for i in b) == list(range(90)) and all(lengths[b].sum() <= 100 for b in bins) and len(bins) <= len(first)
         fewer += len(bins) < len(first)
     assert fewer >= 1
+
+
+def test_swaps_of_like_lengths():
+    lengths = np.random.Generator(np.random.PCG64(0)).integers(1000, 1501, 1500)
+    assert len(P.pack(lengths)) < len(P.best_fit(lengths, P.CAPACITY))
