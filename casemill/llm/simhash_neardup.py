@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from casemill.llm.common import components, cut, map_batches
+from casemill.llm.common import components, cut, forget, map_batches
 
 SHINGLE = 4
 BUDGET = 4
@@ -249,7 +249,12 @@ def alike(a: str | None, b: str | None) -> bool:
 
 
 def copies(rows: DataFrame, known: DataFrame) -> DataFrame:
-    """Edges (a, b) between the roots of texts that are alike though of different roots; rows: at, text; known: at, root."""
+    """Edges (a, b) that connect the roots of texts that are alike though of different roots; rows: at, text; known: at, root.
+
+    Of the texts that share a band each is first compared with one, the band's centre, so a large group of near copies
+    costs a comparison a text and band. Only texts whose component isn't the centre's are then compared with the
+    band's other texts of other components.
+    """
 
     def banded(batch: pa.RecordBatch) -> pa.RecordBatch:
         keys = [bands(x) for x in batch.column(1).to_pylist()]
@@ -257,15 +262,30 @@ def copies(rows: DataFrame, known: DataFrame) -> DataFrame:
 
     def verified(batch: pa.RecordBatch) -> pa.RecordBatch:
         ok = [alike(x, y) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok))
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    def alike_roots(pairs: DataFrame) -> DataFrame:
+        """The root pairs of those text pairs (a, b, ra, rb) that are alike."""
+        text = lambda at, name: rows.select(F.col("at").alias(at), F.col("text").alias(name))
+        both = pairs.join(text("a", "ta"), "a").join(text("b", "tb"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"), "ta", "tb")
+        return cut(map_batches(both, verified, "a long, b long").distinct(), "copies")
 
     found = map_batches(rows, banded, "at long, keys array<bigint>").join(known, "at").select("at", "root", F.explode("keys").alias("key"))
     found = cut(found, "copy-bands")
-    other = found.select("key", F.col("root").alias("rb"), F.col("at").alias("b"))
-    pairs = found.select("key", F.col("root").alias("ra"), F.col("at").alias("a")).join(other, "key").where(F.col("ra") < F.col("rb")).select("ra", "rb", "a", "b").distinct()
-    text = lambda at, name: rows.select(F.col("at").alias(at), F.col("text").alias(name))
-    both = cut(pairs, "copy-pairs").join(text("a", "ta"), "a").join(text("b", "tb"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"), "ta", "tb")
-    return map_batches(both, verified, "a long, b long").distinct()
+    centres = found.groupBy("key").agg(F.min("at").alias("c"), F.min_by("root", "at").alias("rc"), F.count("*").alias("m")).where(F.col("m") > 1)
+    met = cut(found.join(centres, "key"), "copy-bands")
+    forget(found)
+    to_centre = met.where(F.col("root") != F.col("rc")).select(F.col("c").alias("a"), F.col("at").alias("b"), F.col("rc").alias("ra"), F.col("root").alias("rb")).distinct()
+    first = alike_roots(to_centre)
+    joined = cut(components(first, "copies"), "copies")
+    top = lambda name, t: joined.select(F.col("node").alias(name), F.col("root").alias(t))
+    placed = met.where(F.col("m") > 2).join(top("root", "t"), "root", "left").join(top("rc", "tc"), "rc", "left")
+    placed = cut(placed.select("key", "at", "root", F.coalesce("t", "root").alias("t"), F.coalesce("tc", "rc").alias("tc")), "copy-bands")
+    forget(met)
+    other = placed.select("key", F.col("at").alias("b"), F.col("root").alias("rb"), F.col("t").alias("tb"))
+    apart = placed.where(F.col("t") != F.col("tc")).select("key", F.col("at").alias("a"), F.col("root").alias("ra"), F.col("t").alias("ta"))
+    more = apart.join(other, "key").where(F.col("ta") != F.col("tb")).select("a", "b", "ra", "rb").distinct()
+    return first.union(alike_roots(more))
 
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, budget: int = BUDGET) -> DataFrame:

@@ -24,3 +24,26 @@ def test_links_by_several_blocks(spark, monkeypatch, more):
     frame = spark.createDataFrame([(i, f - (1 << 64) if f >> 63 else f) for i, f in enumerate(fps)], "id long, fp long")
     rooted = {x["node"]: x["root"] for x in S.components(S.links(frame, 4), "t").collect()}
     assert [rooted.get(i, i) for i in range(len(fps))] == slow_components(list(range(len(fps))), fps, 4)
+
+
+def test_copies_through_centres(spark):
+    """Texts that share bands with a centre they are not like: every pair of 0.8 is found by other means than the centre."""
+    from tests.llm.frames import prose
+
+    texts = []
+    for seed in range(6):
+        words = prose(200 + seed, 100).split()
+        # A chain: each is like the next, the first and the last are not alike.
+        texts += [" ".join(words[:80] + words[80 : 80 + k] + prose(300 + 10 * seed + k, 20 - k).split()) for k in (0, 4, 8, 12, 16, 20)]
+        texts += [" ".join(["put", *words])]
+    sets = [{" ".join(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    n = len(texts)
+    near = {(i, j) for i in range(n) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])}
+    root = list(range(n))
+    for _ in range(n):
+        for i, j in near:
+            root[i] = root[j] = min(root[i], root[j])
+    rows = spark.createDataFrame(list(enumerate(texts)), "at long, text string")
+    known = rows.select("at", (rows["at"] + 1000).alias("root"))
+    got = {x["node"] - 1000: x["root"] - 1000 for x in S.components(S.copies(rows, known), "t").collect()}
+    assert [got.get(i, i) for i in range(n)] == root and len(near) > 20
