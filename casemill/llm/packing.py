@@ -34,6 +34,10 @@ CACHE_CHUNKS, CACHE_CHARS = 800_000, 64
 _POINT = re.compile(rb"([a-z])([,.])\s")
 
 
+#: Texts that a tokenizer must encode as their chunks.
+_PROBES = ["The Quick, brown. Fox's  caf\u00e9\n\n\ttab-end.", "A.B,c d ..1,2 3.5 word, Word. (x) #y @z", "  leading and trailing \n", "STRASSE stra\u00dfe \u4e2d\u6587, \u043c\u0438\u0440. e\u0301t\u00e9", "a\u00a0b \u2028 c\x0bd\x0ce"]
+
+
 class ChunkIds(dict):
     """Little-endian ids of blank-separated chunks, each encoded once while it is remembered."""
 
@@ -49,6 +53,9 @@ class ChunkIds(dict):
         self.written = dict(zip(own, map(chr, own), strict=True)) | {b: chr(256 + i) for i, b in enumerate(others)}
         self.tokenize = self.model.model.tokenize
         self.letters = all(self._word(x) == self._any(x) for x in ("the", "wordlike", "\u00e9t\u00e9", "stra\u00dfe", "\u4e2d\u6587", "\u043c\u0438\u0440"))
+        #: Whether the tokenizer is one whose ids of a text are those of its chunks; if not, texts are encoded whole.
+        self.chunked = True
+        self.chunked = all(self.ids(x) == self._any(x) for x in _PROBES)
 
     def _any(self, text: str) -> bytes:
         ids = self.model.encode(text, add_special_tokens=False).ids
@@ -73,9 +80,11 @@ class ChunkIds(dict):
     def ids(self, text: str) -> bytes:
         """Ids of a whole text.
 
-        Blanks never join tokens, capitals of ASCII are lower-cased by the tokenizer too, and a comma or dot after a
-        letter is a token of its own: so the ids are those of the chunks in turn.
+        Where blanks never join tokens, capitals of ASCII are lower-cased by the tokenizer too, and a comma or dot after
+        a letter is a token of its own, the ids are those of the chunks in turn.
         """
+        if not self.chunked:
+            return self._any(text.encode("utf-8", "replace").decode())
         chunks = _POINT.sub(rb"\1 \2 ", text.encode("utf-8", "replace").lower()).split()
         return b"".join(map(self.__getitem__, chunks))
 
@@ -83,7 +92,8 @@ class ChunkIds(dict):
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every piece of every row of docs; null texts count as empty.
 
-    The tokenizer is one of lower-case words without blanks, and its file is read where the tasks run.
+    Tokenizers of lower-case words without blanks encode chunk by chunk, others whole texts; which it is, is tried out
+    on a few texts. The file is read where the tasks run.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -45,3 +45,14 @@ def test_swaps_beat_best_fit():
 def test_swaps_of_like_lengths():
     lengths = np.random.Generator(np.random.PCG64(0)).integers(1000, 1501, 1500)
     assert len(P.pack(lengths)) < len(P.best_fit(lengths, P.CAPACITY))
+
+
+def test_tokenizers_of_other_kinds_encode_whole_texts():
+    import public_tokenizers
+
+    for name, chunked in (("word_bpe_49k.json", True), ("byte_bpe_50k.json", False)):
+        coder = P.ChunkIds(public_tokenizers.path(name))
+        assert coder.chunked == chunked
+        for text in ("", "Two words", " a  b\n\nc.", "Ünï, CODE. x,y"):
+            ids = coder.model.encode(text, add_special_tokens=False).ids
+            assert np.frombuffer(coder.ids(text), "<u4").tolist() == ids
