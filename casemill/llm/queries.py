@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casemill.llm import decontamination, html_extraction, license_scan, line_dedup, merkle, packing, quality_classifier, quality_rules, sharding, simhash_neardup, toxicity
+from casemill.llm import conversation_repair, decontamination, html_extraction, license_scan, line_dedup, merkle, packing, quality_classifier, quality_rules, sharding, simhash_neardup, toxicity
 from casemill.llm.common import load
 
 
@@ -57,6 +57,10 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contained(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"), short=True)
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair(load(spark, sf_dir, "conversations"))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(load(spark, sf_dir, "documents"))
 
@@ -72,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_html_extraction": op9_html_extraction,
     "op10_quality_classifier": op10_quality_classifier,
+    "op11_conversation_repair": op11_conversation_repair,
     "op12_merkle_manifest": op12_merkle_manifest,
 }
 
