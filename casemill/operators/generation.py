@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casemill.operators.windows import numbered
@@ -13,18 +13,30 @@ def expanded(matrix: DataFrame, count: str, name: str = "copy") -> DataFrame:
     return matrix.where(F.col(count) > 0).withColumn(name, F.explode(F.sequence(F.lit(1).cast("bigint"), F.col(count).cast("bigint"))))
 
 
+def share_of(index: Column, n: Column, percents: dict[str, float]) -> Column:
+    """The class of row index (from 0) of n rows dealt by percent in turn; percents are scaled to 100, and the last class takes the rest."""
+    if sum(percents.values()) <= 0:
+        raise ValueError("some percent is above 0")
+    total, end = sum(percents.values()), F.lit(0)
+    *names, last = percents
+    label = None
+    for name in names:
+        end = end + F.floor(F.lit(percents[name] * 100 / total) * n / F.lit(100) + F.lit(0.5))
+        label = F.when(index < end, name) if label is None else label.when(index < end, name)
+    return F.lit(last) if label is None else label.otherwise(last)
+
+
 def mixed(spark: SparkSession, n: int, percents: dict[str, float]) -> DataFrame:
-    """n rows dealt to classes by percent in turn; percents are scaled to 100, and the last class takes the rest."""
-    if n < 1 or sum(percents.values()) <= 0:
-        raise ValueError("n is 1 or more, and some percent is above 0")
-    total, end, label = sum(percents.values()), 0, None
-    names = list(percents)
-    for name in names[:-1]:
-        end += int(percents[name] * 100 / total * n / 100 + 0.5)
-        test = F.col("id") < end
-        label = F.when(test, name) if label is None else label.when(test, name)
-    label = F.lit(names[-1]) if label is None else label.otherwise(names[-1])
-    return spark.range(n).select(F.col("id").alias("index"), label.alias("class"))
+    """n rows (index, class) dealt to classes by percent."""
+    if n < 1:
+        raise ValueError("n is 1 or more")
+    return spark.range(n).select(F.col("id").alias("index"), share_of(F.col("id"), F.lit(n), percents).alias("class"))
+
+
+def dealt(df: DataFrame, order: list[Column], percents: dict[str, float], name: str = "class") -> DataFrame:
+    """Rows of df dealt to classes by percent in a unique order; they are numbered over many tasks."""
+    n = df.agg(F.count("*")).scalar()
+    return numbered(df, order, "_at").withColumn(name, share_of(F.col("_at") - 1, n, percents)).drop("_at")
 
 
 def quotas(shares: DataFrame, total: int, share: str = "share") -> DataFrame:

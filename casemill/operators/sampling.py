@@ -49,9 +49,16 @@ DIFFICULTY_SHARES = [("Easy", 0.25), ("Medium", 0.5), ("Hard", 0.25)]
 
 
 def hierarchical(spark: SparkSession, n: int, needs: dict[str, tuple[int, int]], seed: int, level: str | None = None, answer: str | None = None, difficulty: str | None = None) -> DataFrame:
-    """n draws: level by need, answer by level, difficulty, then a trap type, family and ambiguity that suit them."""
-    rows = spark.range(n).withColumnRenamed("id", "draw")
-    u = lambda i: uniform("draw", seed * 10 + i)
+    """n draws (draw from 0), as drawn_for()."""
+    return drawn_for(spark.range(n).withColumnRenamed("id", "draw"), "draw", needs, seed, level, answer, difficulty)
+
+
+def drawn_for(rows: DataFrame, key: str, needs: dict[str, tuple[int, int]], seed: int, level: str | None = None, answer: str | None = None, difficulty: str | None = None) -> DataFrame:
+    """rows with a draw each: level by need, answer by level, difficulty, then a trap type, family and ambiguity that suit them.
+
+    What a row draws hangs on its key and the seed alone; needs (needed, current) are three pairs of counts.
+    """
+    u = lambda i: uniform(key, seed * 10 + i)
     rows = rows.withColumn("level", F.lit(level) if level else drawn(u(0), level_shares(needs)))
     by_level = F.coalesce(*[F.when(F.col("level") == k, drawn(u(1), v)) for k, v in ANSWER_SHARES.items()])
     rows = rows.withColumn("answer", F.lit(answer) if answer else by_level)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from casemill.functions import vocab
 from casemill.functions.cases import n_words
 from casemill.operators import aggregates as A
-from casemill.operators import similarity
+from casemill.operators import near_pairs, similarity
 from casemill.operators import validation as V
 from casemill.plans.registry import query
 from casemill.sources.readers import table
@@ -155,6 +155,31 @@ def near_dup_pairs(spark: SparkSession, d: str) -> DataFrame:
     return near.select(F.col("a").alias("vec_id_a"), F.col("b").alias("vec_id_b"))
 
 
+_NEAR_SQL = """WITH v AS (SELECT c_custkey AS k, c_nationkey AS n, c_mktsegment AS m, c_acctbal / 10000 AS x FROM customer),
+ p AS (SELECT a.k AS a, b.k AS b FROM v a JOIN v b ON a.k < b.k WHERE ((a.n = b.n)::INT + (a.m = b.m)::INT + a.x * b.x) / sqrt((2 + a.x * a.x) * (2 + b.x * b.x)) > 0.85)"""
+
+
+def _customer_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """Customers as vectors of length one: nation, segment and balance; they lie in a cluster for each nation and segment."""
+    segments = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
+    ones = [(F.col("c_nationkey") == n) for n in range(25)] + [F.col("c_mktsegment") == m for m in segments]
+    x = F.col("c_acctbal") / 10000
+    rows = table(spark, d, "customer", "c_custkey", "c_nationkey", "c_mktsegment", "c_acctbal")
+    return rows.select("c_custkey", F.transform(F.array(*[o.cast("double") for o in ones], x), lambda v: v / F.sqrt(2 + x * x)).alias("v"))
+
+
+@query(f"{_NEAR_SQL} SELECT a, b FROM p")
+def near_customers(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of customers with a cosine above 0.85, most cells never compared."""
+    return near_pairs.near_pairs(_customer_vectors(spark, d), "c_custkey", "v", 0.85).select("a", "b")
+
+
+@query(f"{_NEAR_SQL}, q AS (SELECT a AS k FROM p UNION ALL SELECT b FROM p) SELECT c_custkey, count(q.k) AS near FROM customer LEFT JOIN q ON q.k = c_custkey GROUP BY 1")
+def near_customer_counts(spark: SparkSession, d: str) -> DataFrame:
+    """With how many others each customer has a cosine above 0.85; copies are counted by class."""
+    return near_pairs.near_count(_customer_vectors(spark, d), "c_custkey", "v", 0.85)
+
+
 @query("""WITH v AS (SELECT lang, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> ''))::DOUBLE AS w FROM documents),
  q AS (SELECT lang, quantile_cont(w, 0.25) AS q1, quantile_cont(w, 0.5) AS median, quantile_cont(w, 0.75) AS q3 FROM v GROUP BY 1)
  SELECT lang, q1, median, q3, min(w) AS low, max(w) AS high FROM v JOIN q USING (lang) WHERE w BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1) GROUP BY 1, 2, 3, 4""")

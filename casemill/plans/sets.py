@@ -81,16 +81,19 @@ _QUOTAS = [("YES", 5), ("NO", 3), ("MAYBE", 0)]
 
 
 @query("""WITH s AS (SELECT label, row_number() OVER (ORDER BY label, i) AS k FROM (VALUES ('YES', 5), ('NO', 3), ('MAYBE', 0)) q(label, n), range(1, 100) r(i) WHERE r.i <= q.n),
- c AS (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) AS k FROM customer WHERE c_custkey <= 20) SELECT c_custkey, label FROM c JOIN s USING (k)""")
+ c AS (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) AS k FROM customer) SELECT c_custkey, label FROM c JOIN s USING (k)""")
 def quota_assignment(spark: SparkSession, d: str) -> DataFrame:
     slots = G.expanded(spark.createDataFrame(_QUOTAS, "label string, n long"), "n").select("label", "copy")
     seeds = table(spark, d, "customer", "c_custkey")
     return G.assigned(seeds, [F.col("c_custkey")], slots, [F.col("label"), F.col("copy")]).select("c_custkey", "label")
 
 
-@query("SELECT i AS index, CASE WHEN i < 20 THEN 'Easy' WHEN i < 60 THEN 'Medium' ELSE 'Hard' END AS class FROM range(80) r(i)")
+@query("""WITH r AS (SELECT c_custkey, row_number() OVER (ORDER BY c_acctbal, c_custkey) - 1 AS i, count(*) OVER () AS n FROM customer)
+ SELECT c_custkey, CASE WHEN i < floor(25.0 * n / 100 + 0.5) THEN 'Easy' WHEN i < floor(25.0 * n / 100 + 0.5) + floor(50.0 * n / 100 + 0.5) THEN 'Medium' ELSE 'Hard' END AS class FROM r""")
 def percent_mix(spark: SparkSession, d: str) -> DataFrame:
-    return G.mixed(spark, 80, {"Easy": 25, "Medium": 50, "Hard": 25})
+    """Customers dealt to three classes by percent, in the order of their balance."""
+    rows = table(spark, d, "customer", "c_custkey", "c_acctbal")
+    return G.dealt(rows, [F.col("c_acctbal"), F.col("c_custkey")], {"Easy": 25, "Medium": 50, "Hard": 25}).select("c_custkey", "class")
 
 
 @query("SELECT o_orderkey, code, coalesce(k.name, 'OTHER') AS name FROM (SELECT o_orderkey, split_part(o_orderpriority, '-', 1) AS code FROM orders) o LEFT JOIN (VALUES ('1', 'top'), ('2', 'high'), ('3', 'middle')) k(c, name) ON k.c = o.code")
@@ -121,24 +124,30 @@ def _picked_sql(u: str, values: list[str]) -> str:
     return f"""[{", ".join(f"'{v}'" for v in values)}][(floor({u} * {len(values)}) + 1)::INT]"""
 
 
-def _hierarchical_sql(n: int, needs: dict[str, tuple[int, int]], seed: int) -> str:
-    u = [_U.format(seed * 10 + i) for i in range(5)]
+def _hierarchical_sql(seed: int) -> str:
+    """Levels by what each lacks of three fifths of all orders, of which its status is the part that is there."""
+    u = [_U.replace("draw", "o_orderkey").format(seed * 10 + i) for i in range(5)]
     answers = " ".join(f"WHEN '{k}' THEN {_drawn_sql(u[1], v)}" for k, v in S.ANSWER_SHARES.items())
     wolves, sheep = ([c for c in vocab.L1_TRAPS if c[0] == x] for x in "WS")
     kinds = [("L1", "NO", wolves), ("L1", "YES", sheep), ("L2", "NO", list(vocab.L2_TRAPS)), *(("L3", a, [f for f, own in vocab.L3_ANSWERS.items() if a in own]) for a in vocab.LABELS["L3"])]
     kind = " ".join(f"WHEN level = '{lv}' AND answer = '{an}' THEN {_picked_sql(u[3], own)}" for lv, an, own in kinds)
-    return f"""WITH a AS (SELECT i AS draw, {_drawn_sql(u[0].replace("draw", "i"), S.level_shares(needs))} AS level FROM range({n}) r(i)),
+    lacks = ", ".join(f"greatest(0, count(*) * 3 // 5 - count(*) FILTER (o_orderstatus = '{status}'))::DOUBLE AS {lv}" for lv, status in _STATUS_OF.items())
+    return f"""WITH s AS (SELECT {lacks} FROM orders),
+ a AS (SELECT o_orderkey, CASE WHEN {u[0]} < L1 / (L1 + L2 + L3) THEN 'L1' WHEN {u[0]} < (L1 + L2) / (L1 + L2 + L3) THEN 'L2' ELSE 'L3' END AS level FROM orders, s),
  b AS (SELECT *, CASE level {answers} END AS answer, {_drawn_sql(u[2], S.DIFFICULTY_SHARES)} AS difficulty FROM a)
  SELECT *, CASE {kind} END AS type, CASE WHEN answer IN ('AMBIGUOUS', 'CONDITIONAL') THEN {_picked_sql(u[4], vocab.AMBIGUITIES)} END AS ambiguity FROM b"""
 
 
-_NEEDS = {"L1": (50, 20), "L2": (297, 100), "L3": (103, 103)}
+_STATUS_OF = {"L1": "F", "L2": "O", "L3": "P"}
 
 
-@query(_hierarchical_sql(2000, _NEEDS, 11))
+@query(_hierarchical_sql(11))
 def random_sample(spark: SparkSession, d: str) -> DataFrame:
-    """Draws of level, answer, difficulty and type."""
-    return S.hierarchical(spark, 2000, _NEEDS, seed=11)
+    """A draw of level, answer, difficulty and type for every order; the levels' needs are counted from the orders."""
+    rows = table(spark, d, "orders", "o_orderkey", "o_orderstatus")
+    seen = rows.agg(F.count("*").alias("n"), *[F.count_if(F.col("o_orderstatus") == v).alias(k) for k, v in _STATUS_OF.items()]).first()
+    needs = {k: (seen["n"] * 3 // 5, seen[k]) for k in _STATUS_OF}
+    return S.drawn_for(rows.select("o_orderkey"), "o_orderkey", needs, seed=11)
 
 
 @query(f"SELECT c_custkey, c_acctbal FROM customer WHERE c_acctbal > 0 ORDER BY -ln(greatest({_U.replace('draw', 'c_custkey').format(3)}, 1e-12)) / c_acctbal, c_custkey LIMIT 50")
