@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from casemill.operators.quantiles import quantiles
 from casemill.operators.tables import settled
 
 
@@ -104,8 +105,8 @@ def gap_flags(df: DataFrame, by: str, domain: str, text: str, least_domains: int
 
 
 def five_numbers(df: DataFrame, by: list[str], value: str) -> DataFrame:
-    """Quartiles, and the least and greatest value within one and a half quartile ranges of them."""
-    q = df.groupBy(*by).agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
+    """Quartiles, and the least and greatest value within one and a half quartile ranges of them; groups with a null key are left out."""
+    q = quantiles(df, by, value, [0.25, 0.5, 0.75])
     q = q.select(*by, F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     near = df.join(q, by).where(F.col(value).between(F.col("q1") - reach, F.col("q3") + reach))

@@ -5,8 +5,14 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
+import casemill
+
+# Executors need no copy of this package: its functions travel with the tasks.
+cloudpickle.register_pickle_by_value(casemill)
+
 _own: list[str] = []
 
 

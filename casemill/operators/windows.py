@@ -40,10 +40,37 @@ def most_recent(df: DataFrame, order: list[Column], k: int = 20) -> DataFrame:
     return df.orderBy(*order).limit(k)
 
 
-def recent_before(df: DataFrame, by: list[str], order: list[Column], value: str, k: int = 20, name: str = "recent") -> DataFrame:
-    """Each row with the values of the k rows before it in its group."""
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(-k, -1)
-    return df.withColumn(name, F.collect_list(value).over(w))
+def recent_before(df: DataFrame, by: list[str], order: list[Column], value: str, k: int = 20, name: str = "recent", buckets: int | None = None) -> DataFrame:
+    """Each row with the values of the k rows before it in its group, nulls left out, without one task that holds a large group.
+
+    Rows are range-partitioned by group and order; a partition's rows see each other by themselves, and its first k rows of
+    a group that began before get the last k rows of the parts before, the halo. Only groups that go on from one partition to
+    the next have one. The order is unique in a group; k is small: a halo row gathers up to k lists of k.
+    """
+    buckets = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = settled(df.repartitionByRange(buckets, *by, *order).withColumn("_part", F.spark_partition_id()), "recent")
+    inside = Window.partitionBy("_part", *by).orderBy(*order)
+    key = F.struct(*by)
+    sizes = ranged.groupBy(key.alias("_group"), "_part").agg(F.count("*").alias("_n"))
+    # Groups of one part need no halo; those of several are at most two for each partition.
+    split = sizes.groupBy("_group").agg(F.count("*").alias("_parts")).where(F.col("_parts") > 1).select("_group")
+    own = ranged.join(F.broadcast(split), key.eqNullSafe(F.col("_group")), "left_semi")
+    back = F.count("*").over(Window.partitionBy("_part", *by)) - F.row_number().over(inside)
+    ends = own.withColumn("_back", back).where(F.col("_back") < k)
+    tails = ends.groupBy(key.alias("_group"), "_part").agg(F.sort_array(F.collect_list(F.struct((-F.col("_back")).alias("b"), F.col(value).alias("v")))).alias("_tail"))
+    parts = Window.partitionBy("_group").orderBy("_part").rowsBetween(-k, -1)
+    before = F.flatten(F.collect_list("_tail").over(parts))
+    halo = tails.select("_group", F.col("_part").alias("_at_part"), _last(F.transform(before, lambda x: x["v"]), k).alias("_halo"))
+    seen = ranged.withColumns({"_own": F.row_number().over(inside), "_list": F.collect_list(F.struct(F.col(value).alias("v"))).over(inside.rowsBetween(-k, -1))})
+    # A broadcast of at most two lists of k values for each partition.
+    joined = seen.join(F.broadcast(halo), (F.col("_part") == F.col("_at_part")) & key.eqNullSafe(F.col("_group")), "left")
+    listed = F.transform("_list", lambda x: x["v"])
+    whole = F.when((F.col("_own") <= k) & F.col("_halo").isNotNull(), _last(F.concat("_halo", listed), k)).otherwise(listed)
+    return joined.withColumn(name, F.filter(whole, lambda x: x.isNotNull())).drop("_part", "_at_part", "_group", "_own", "_list", "_halo")
+
+
+def _last(values: Column, k: int) -> Column:
+    return F.slice(values, F.greatest(F.lit(1), F.size(values) - k + 1), k)
 
 
 def numbered_across(df: DataFrame, by: list[str], order: list[Column], name: str = "number", buckets: int | None = None) -> DataFrame:
