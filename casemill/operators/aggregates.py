@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from casemill.operators.quantiles import quantiles
 from casemill.operators.tables import settled
 
+#: Groups of a table of one row each that may be broadcast.
+SMALL_GROUPS = 50_000
+
 
 def panel(df: DataFrame, by: list[str] | None = None, **tests: Column) -> DataFrame:
     """total and one conditional count for each test, of all rows or by group."""
@@ -109,7 +112,9 @@ def five_numbers(df: DataFrame, by: list[str], value: str) -> DataFrame:
     q = quantiles(df, by, value, [0.25, 0.5, 0.75])
     q = q.select(*by, F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
     reach = 1.5 * (F.col("q3") - F.col("q1"))
-    near = df.join(q, by).where(F.col(value).between(F.col("q1") - reach, F.col("q3") + reach))
+    q = settled(q, "quartiles")
+    # A large group would go to one task of a shuffled join.
+    near = df.join(F.broadcast(q) if q.count() <= SMALL_GROUPS else q, by).where(F.col(value).between(F.col("q1") - reach, F.col("q3") + reach))
     return near.groupBy(*by, "q1", "median", "q3").agg(F.min(value).cast("double").alias("low"), F.max(value).cast("double").alias("high"))
 
 

@@ -13,6 +13,8 @@ from casemill.operators.tables import settled
 
 #: Parts that a range is cut into.
 PARTS = 1024
+#: Groups whose open ranges, a few for each, may be broadcast.
+SMALL = 10_000
 
 
 def _ranks(n: Column, shares: list[float]) -> Column:
@@ -35,13 +37,15 @@ def quantiles(df: DataFrame, by: list[str], value: str, shares: list[float], nam
     wanted = ends.select("g", "low", "high", F.lit(0).cast("long").alias("before"), "n", F.explode(_ranks(F.col("n"), shares)).alias("rank"))
     state = settled(wanted.select("g", "low", "high", "before", "rank"), "quantile-ranges")
     sizes = settled(ends.select("g", "n"), "quantile-sizes")
-    done = None
+    few, done = sizes.count() <= SMALL, None
     while True:
         closed, open_ = state.where(F.col("low") == F.col("high")), state.where(F.col("low") < F.col("high"))
         done = closed if done is None else done.unionByName(closed)
         if open_.isEmpty():
             break
         ranges = open_.select("g", "low", "high", "before").distinct()
+        # Few ranges are broadcast: a large group would go to one task of a shuffled join.
+        ranges = F.broadcast(ranges) if few else ranges
         held = rows.alias("r").join(ranges.alias("s"), F.col("r.g").eqNullSafe(F.col("s.g")) & F.col("r.x").between(F.col("s.low"), F.col("s.high")))
         # Halved before they are taken apart, so that the widest range doesn't overflow.
         part = F.least(F.lit(PARTS - 1), F.floor((F.col("x") / 2 - F.col("low") / 2) / (F.col("high") / 2 - F.col("low") / 2) * PARTS))
