@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from casemill.functions.cases import json_in_text
 from casemill.operators.mutations import upserted
+from casemill.operators.tables import settled
 
 SEED_SCHEMA = (
     "sourceCase string, scenario string, claim string, pearlLevel string, domain string, subdomain string, trapType string, trapSubtype string, "
@@ -109,3 +112,33 @@ def ideas(answers: DataFrame, column: str = "answer") -> DataFrame:
     """Seeds in the JSON array that a free answer holds, with defaults for what they lack; an unreadable answer gives none."""
     found = answers.select(F.explode(json_in_text(column, f"struct<{_struct(IDEA_SCHEMA)}>")).alias("s")).select("s.*")
     return found.fillna({"topic": "", "subdomain": "", "timeframe": "", "event": "", "context": "", "difficulty": "medium"}).withColumn("entities", F.coalesce("entities", F.array().cast("array<string>")))
+
+
+class Snapshot:
+    """Rows that are loaded once and read as a view until they are refreshed: seeds that many requests share.
+
+    A snapshot is a table in the shared folder, so that no memory holds it; queries at work go on reading the one they
+    began with when a new one takes its place.
+    """
+
+    def __init__(self, spark: SparkSession, name: str, load: Callable[[], DataFrame]) -> None:
+        self.spark, self.name, self.load, self.n = spark, name, load, None
+
+    def rows(self) -> DataFrame:
+        """The rows as they were last loaded."""
+        if self.n is None:
+            self.refresh()
+        return self.spark.table(self.name)
+
+    def refresh(self) -> int:
+        """Load anew and put the view over what was loaded; how many rows there are. If loading fails, the old rows stay."""
+        new = settled(self.load(), f"snapshot-{self.name}")
+        n = new.count()
+        new.createOrReplaceTempView(self.name)
+        self.n = n
+        return n
+
+    def clear(self) -> None:
+        """Forget the rows; the next reader loads them."""
+        self.spark.catalog.dropTempView(self.name)
+        self.n = None

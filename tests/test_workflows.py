@@ -171,3 +171,23 @@ def test_evaluation_report(spark):
         assert part in text, part
     assert [text.index(f"({x})") for x in "ABCDE"] == sorted(text.index(f"({x})") for x in "ABCDE")
     assert "No cases" in sinks.evaluation_report(spark.createDataFrame([], names))
+
+
+def test_snapshot_is_loaded_once_until_refreshed(spark):
+    loads = []
+
+    def load():
+        loads.append(len(loads))
+        if len(loads) == 3:
+            raise OSError("away")
+        return spark.range(len(loads)).withColumn("load", F.lit(len(loads)))
+
+    seeds = readers.Snapshot(spark, "seeds_view", load)
+    before = seeds.rows()
+    assert before.count() == 1 and seeds.rows().count() == 1 and seeds.n == 1 and loads == [0]
+    assert seeds.refresh() == 2 and spark.table("seeds_view").count() == 2 and before.count() == 1
+    with pytest.raises(OSError, match="away"):
+        seeds.refresh()
+    assert seeds.rows().count() == 2
+    seeds.clear()
+    assert not spark.catalog.tableExists("seeds_view") and seeds.rows().count() == 4
