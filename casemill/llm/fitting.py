@@ -16,10 +16,25 @@ ROWS_PER_LABEL = 1000
 
 #: Most bytes of these rows' texts for each class or grade: rows past it, in the same order, are left out of the fit.
 BYTES_PER_LABEL = 32_000_000
-#: Longest rating scale; labels of more different values are refused.
+#: Longest rating scale; graded() brings ratings of more different values to it.
 MOST_GRADES = 100
 
 
+def graded(labels: DataFrame, column: str) -> DataFrame:
+    """Labels (doc_id, and the column, the greatest of each doc_id, nulls dropped) on a scale of at most MOST_GRADES values.
+
+    A scale of more is cut at quantiles of the labels, and a grade is the mean of the labels between two cuts.
+    """
+    clean = labels.select("doc_id", F.col(column).cast("double").alias("y")).dropna().groupBy("doc_id").agg(F.max("y").alias("y"))
+    if clean.select("y").distinct().limit(MOST_GRADES + 1).count() <= MOST_GRADES:
+        return clean.withColumnRenamed("y", column)
+    shares = F.array(*[F.lit(i / MOST_GRADES) for i in range(MOST_GRADES)])
+    cuts = sorted(set(clean.agg(F.percentile_approx("y", shares, 10_000)).first()[0]))
+    binned = clean.withColumn("bin", F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= F.col("y"))))
+    means = binned.groupBy("bin").agg(F.avg("y").alias("grade"))
+    return binned.join(F.broadcast(means), "bin").select("doc_id", F.col("grade").alias(column))
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, features: Callable[[str | None], np.ndarray], rows: int = ROWS_PER_LABEL) -> tuple[list[np.ndarray], np.ndarray]:
     """Feature buckets and labels of a bounded sample of labelled documents.
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from casemill.llm.common import map_batches
-from casemill.llm.fitting import ROWS_PER_LABEL, Design, adam, labelled_sample, row_score, sigmoid
+from casemill.llm.fitting import ROWS_PER_LABEL, Design, adam, graded, labelled_sample, row_score, sigmoid
 from casemill.llm.ngrams import BITS, buckets
 from casemill.llm.toxicity import held_out
 
@@ -97,9 +97,13 @@ def fit(x: list[np.ndarray], y: np.ndarray, width: int = WIDTH) -> Model:
     return Model((p[:width] * scale).astype(np.float32), ordered(p[width:]), grades)
 
 
-def train(docs: DataFrame, labels: DataFrame, column: str = "quality", rows: int = ROWS_PER_LABEL) -> Model:
-    """Fit on at most rows rated documents of each grade outside the held-out fold."""
-    return fit(*labelled_sample(docs, labels.where(~held_out(F.col("doc_id"))), column, features, rows))
+def train(docs: DataFrame, labels: DataFrame, column: str = "quality", rows: int = ROWS_PER_LABEL, any_scale: bool = False) -> Model:
+    """Fit on at most rows rated documents of each grade outside the held-out fold.
+
+    Ratings of more than MOST_GRADES different values are refused; with any_scale they are cut at quantiles.
+    """
+    rated = labels.where(~held_out(F.col("doc_id")))
+    return fit(*labelled_sample(docs, graded(rated, column) if any_scale else rated, column, features, rows))
 
 
 def grade(docs: DataFrame, model: Model, tail: float = 0.5) -> DataFrame:

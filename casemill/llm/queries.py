@@ -41,7 +41,7 @@ def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
-    return quality_classifier.grade(docs, quality_classifier.train(docs, load(spark, sf_dir, "labels")))
+    return quality_classifier.grade(docs, quality_classifier.train(docs, load(spark, sf_dir, "labels"), any_scale=True))
 
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,8 +13,8 @@ SHARDS = 16
 ROUNDS = 3
 #: Lines of fewer characters link nothing.
 LINE_CHARS = 20
-#: A group of equal texts of more than this share of a shard is split into nodes of about that size.
-NODE_SHARE = 1 / 8
+#: Groups of equal texts of more than this share of a shard are placed before all others; there are at most 8 for each shard.
+LARGE_SHARE = 1 / 8
 #: Rows that are numbered by one window.
 BUCKET_ROWS = 10_000
 #: Nodes of a line that are joined with its vote by one task; lines with more are dealt over several keys.
@@ -64,29 +64,58 @@ def _allowed(wanted: dict[tuple[int, int], int], room: list[int]) -> dict[tuple[
     return share
 
 
+def _placed_first(large: list[tuple[int, int]], quota: list[int]) -> tuple[dict[int, int], list[int]]:
+    """Shards of large nodes (node, rows), the largest first into the emptiest shard, and the room left; one that no shard takes whole has none."""
+    room, found = list(quota), {}
+    for node, w in sorted(large, key=lambda x: (-x[1], x[0])):
+        s = max(range(len(room)), key=lambda i: (room[i], -i))
+        if w <= room[s]:
+            found[node] = s
+            room[s] -= w
+    return found, room
+
+
+def _first_shard(room: list[int]) -> Column:
+    """A shard for every other node, drawn by its hash with the shards' room for weights."""
+    total, upto, out = max(1, sum(room)), 0, F.lit(len(room) - 1)
+    draw, tests = F.pmod(F.xxhash64("node", F.lit(1)), F.lit(1 << 30)), []
+    for s, n in enumerate(room):
+        upto += n
+        tests.append((draw * total < F.lit(upto << 30), s))
+    for test, s in reversed(tests):
+        out = F.when(test, s).otherwise(out)
+    return out.cast("int")
+
+
 def assign(docs: DataFrame, n_shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
     """One row per row of docs: doc_id, size, text_crc32, shard, slot; shards' row counts differ by one at most.
 
-    Nodes are groups of equal texts (64-bit hash); a group of over an eighth of a shard is several nodes. Nodes that
+    Nodes are groups of equal texts (64-bit hash); only a group of more rows than a shard is several nodes. Large nodes
+    are placed first and stay, the largest into the emptiest shard, and the others are drawn round them. Nodes that
     share a line are linked through it: a line votes for the shard where most of its rows are, and a node wants the
     shard with most of its lines' votes. Of each pair of shards as many rows move one way as the other, beyond which
     moves fill free room; which nodes of those move is drawn by a hash. After the rounds the exact quotas are met by
-    moving the last rows of overfull shards, single and unlinked ones first, to the places left.
+    moving the last rows of overfull shards to the places left: unlinked rows first, then other single ones, so that
+    groups stay whole as long as a shard holds any.
 
-    Only counts by shard, and groups too large for a shard (at most 8 for each), reach the driver. Null texts are one
+    Only counts by shard, and nodes of over LARGE_SHARE of a shard, reach the driver. Null texts are one
     group, of size 1; repeated rows get a place each; null ids are kept; other columns are dropped; an empty table
     gives an empty result.
     """
     rows = cut(_rows(docs), "shard-rows")
     total = rows.count()
     quota = [total // n_shards + (s < total % n_shards) for s in range(n_shards)]
-    most = max(1, int(total / n_shards * NODE_SHARE))
-    large = rows.groupBy("copy").agg(F.count("*").alias("n")).where(F.col("n") > most).select("copy", F.ceil(F.col("n") / most).cast("int").alias("k"))
-    salted = rows.join(F.broadcast(large), "copy", "left")
+    most = max(1, min(quota))
+    whole = rows.groupBy("copy").agg(F.count("*").alias("n")).where(F.col("n") > most).select("copy", F.ceil(F.col("n") / most).cast("int").alias("k"))
+    salted = rows.join(F.broadcast(whole), "copy", "left")  # fewer than twice as many as shards
     node = F.when(F.col("k").isNull(), F.col("copy")).otherwise(F.xxhash64("copy", F.pmod(F.xxhash64("doc_id", "at", F.lit(7)), F.col("k"))))
     rows = cut(salted.select("doc_id", "size", "text_crc32", "copy", "at", node.alias("node")), "shard-rows")
-    nodes = rows.groupBy("node").agg(F.min("copy").alias("copy"), F.count("*").alias("w"))
-    state = cut(nodes.withColumn("shard", F.pmod(F.xxhash64("node", F.lit(1)), F.lit(n_shards)).cast("int")), "shard-state")
+    nodes = cut(rows.groupBy("node").agg(F.min("copy").alias("copy"), F.count("*").alias("w")), "shard-nodes")
+    large = nodes.where(F.col("w") > max(1, int(total / n_shards * LARGE_SHARE))).select("node", "w").collect()
+    first, room = _placed_first([(x["node"], x["w"]) for x in large], quota)
+    pinned = docs.sparkSession.createDataFrame(list(first.items()), "node long, own int")
+    state = nodes.join(F.broadcast(pinned), "node", "left").select("node", "copy", "w", F.coalesce("own", _first_shard(room)).alias("shard"), F.col("own").isNotNull().alias("pinned"))
+    state = cut(state, "shard-state")
     links = cut(_links(docs, state), "shard-links")
     for turn in range(rounds):
         placed = links.join(state.select("node", "shard", "w"), "node")
@@ -94,7 +123,7 @@ def assign(docs: DataFrame, n_shards: int = SHARDS, rounds: int = ROUNDS) -> Dat
         heard = votes.select("hub", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), (-F.col("top.low")).alias("to"))
         asked = links.join(heard, ["hub", "part"]).groupBy("node", "to").agg(F.count("*").alias("n"))
         wish = asked.groupBy("node").agg(F.max(F.struct("n", (-F.col("to")).alias("low"))).alias("top")).select("node", (-F.col("top.low")).alias("to"))
-        wished = cut(state.join(wish, "node", "left").withColumn("to", F.coalesce("to", "shard")), "shard-wishes")
+        wished = cut(state.join(wish, "node", "left").withColumn("to", F.when(F.col("pinned"), F.col("shard")).otherwise(F.coalesce("to", "shard"))), "shard-wishes")
         flows = wished.groupBy("shard", "to").agg(F.sum("w").alias("n")).collect()
         size = [sum(f["n"] for f in flows if f["shard"] == s) for s in range(n_shards)]
         share = _allowed({(f["shard"], f["to"]): f["n"] for f in flows if f["shard"] != f["to"]}, [q - x for q, x in zip(quota, size, strict=True)])
@@ -103,7 +132,7 @@ def assign(docs: DataFrame, n_shards: int = SHARDS, rounds: int = ROUNDS) -> Dat
         table = [[share.get((a, b), 0.0) for b in range(n_shards)] for a in range(n_shards)]
         chance = F.get(F.array(*[F.lit(x) for line in table for x in line]), F.col("shard") * n_shards + F.col("to"))
         draw = F.pmod(F.xxhash64("node", F.lit(100 + turn)), F.lit(1 << 20)) / F.lit(float(1 << 20))
-        moved = cut(wished.select("node", "copy", "w", F.when(draw < chance, F.col("to")).otherwise(F.col("shard")).alias("shard")), "shard-state")
+        moved = cut(wished.select("node", "copy", "w", "pinned", F.when(draw < chance, F.col("to")).otherwise(F.col("shard")).alias("shard")), "shard-state")
         forget(state)
         state = moved
     linked = links.select("node").distinct().withColumn("linked", F.lit(True))
@@ -111,7 +140,8 @@ def assign(docs: DataFrame, n_shards: int = SHARDS, rounds: int = ROUNDS) -> Dat
     n_buckets = max(1, ceil(total / n_shards / BUCKET_ROWS))
     # A node of many rows goes to many buckets; its rows stay in its shard all the same.
     own = F.when(F.col("w") > BUCKET_ROWS / 4, F.xxhash64("doc_id", "at", F.lit(2))).otherwise(F.xxhash64("node", F.lit(2)))
-    bucket = F.pmod(own, F.lit(n_buckets)) + F.when(F.col("loose"), n_buckets).otherwise(0)
+    # Groups stand first, so that what is beyond a quota is single rows.
+    bucket = F.pmod(own, F.lit(n_buckets)) + F.when(F.col("loose"), 2 * n_buckets).when(F.col("w") == 1, n_buckets).otherwise(0)
     kept = state.join(linked, "node", "left").select("node", "shard", "w", loose.alias("loose"))
     placed = cut(rows.join(kept, "node").withColumn("bucket", bucket).drop("w", "loose", "at"), "shard-placed")
     return _exact(placed, quota)

@@ -44,13 +44,14 @@ def log_count_ratios(rows: list[np.ndarray], y: np.ndarray, bits: int = WORD_BIT
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = ROWS_PER_LABEL) -> Model:
-    """Fit on at most rows labelled documents of each class outside the held-out fold.
+    """Fit on at most rows labelled documents of each class outside the held-out fold; a label above 0 is toxic.
 
     With no labelled rows, or of one class only, the model is constant: 0.5 is never reached without toxic rows
     and always with nothing else.
     """
-    x, y = labelled_sample(docs, labels.where(~held_out(F.col("doc_id"))), "toxic", word_grams, rows)
-    y = (y > 0).astype(np.int64)
+    marked = labels.select("doc_id", (F.col("toxic").cast("double") > 0).cast("int").alias("toxic"))
+    x, y = labelled_sample(docs, marked.where(~held_out(F.col("doc_id"))), "toxic", word_grams, rows)
+    y = y.astype(np.int64)
     if len(set(y.tolist())) < 2:
         return Model(np.zeros(1 << WORD_BITS, np.float32), 5.0 if len(y) and y[0] else -5.0)
     ratio = log_count_ratios(x, y)

@@ -112,3 +112,19 @@ def test_sample_is_bounded_by_bytes(spark, monkeypatch):
     monkeypatch.setattr(fitting, "BYTES_PER_LABEL", 1)
     assert sorted(fitting.labelled_sample(docs, labels, "toxic", ngrams.word_grams)[1].tolist()) == [0.0, 1.0]
     assert re.fullmatch("[01]", str(T.score(awkward(spark), T.train(docs, labels)).first()["predicted"]))
+
+
+def test_labels_of_very_many_values(spark):
+    """Toxicity needs a label's sign alone; ratings of more values than the scale has are cut at quantiles."""
+    texts = [f"{'bad vile ' if i % 3 == 0 else 'good fine '}{prose(i, 6)}" for i in range(400)]
+    docs = documents(spark, texts)
+    labels = spark.createDataFrame([(i, (i % 3 == 0) * (1 + i / 7), i / 4 + (200 if i % 3 == 0 else 0)) for i in range(400)], "doc_id long, toxic double, quality double")
+    found = T.score(docs, T.train(docs, labels)).collect()
+    assert all(x["predicted"] == (x["doc_id"] % 3 == 0) for x in found)
+    scaled = fitting.graded(labels, "quality").collect()
+    assert len(scaled) == 400 and 50 < len({x["quality"] for x in scaled}) <= fitting.MOST_GRADES
+    assert max(abs(x["quality"] - (x["doc_id"] / 4 + (200 if x["doc_id"] % 3 == 0 else 0))) for x in scaled) < 3
+    graded = C.grade(docs, C.train(docs, labels, rows=20, any_scale=True)).collect()
+    high = [x["expected_grade"] for x in graded if x["doc_id"] % 3 == 0]
+    low = [x["expected_grade"] for x in graded if x["doc_id"] % 3]
+    assert sum(high) / len(high) > sum(low) / len(low) + 40

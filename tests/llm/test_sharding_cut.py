@@ -56,3 +56,25 @@ def test_parts_of_a_hub_hear_the_same_vote(spark, monkeypatch):
     whole = sorted((x["doc_id"], x["shard"], x["slot"]) for x in S.assign(docs).collect())
     monkeypatch.setattr(S, "HUB_NODES", 5)
     assert sorted((x["doc_id"], x["shard"], x["slot"]) for x in S.assign(docs).collect()) == whole
+
+
+def test_groups_stay_whole(spark):
+    """30 copies in shards of 100 rows are in one shard; two large groups and many small ones each stay together."""
+    texts = ["thirty copies of this"] * 30 + [f"pair {i // 2}" for i in range(600)] + ["ninety copies"] * 90 + ["a third of all, more than a shard"] * 500
+    texts += [f"own text {i} {prose(i, 8)}" for i in range(1600 - len(texts))]
+    by = defaultdict(lambda: defaultdict(int))
+    for x in S.assign(documents(spark, texts)).collect():
+        by[texts[x["doc_id"]]][x["shard"]] += 1
+    assert all(len(by[t]) == 1 for t in by if not t.startswith("a third")) and len(by["thirty copies of this"]) == 1
+    assert 5 <= len(by["a third of all, more than a shard"]) <= 16
+
+
+def test_no_group_of_the_given_documents_is_split(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    found = S.assign(docs).join(docs.select("doc_id", "text"), "doc_id")
+    split = found.groupBy("text").agg(F.count("*").alias("n"), F.countDistinct("shard").alias("shards")).where("n > 1 and shards > 1")
+    assert split.count() == 0
+
+
+def test_large_groups_first():
+    assert S._placed_first([(1, 60), (2, 60), (3, 60), (4, 40)], [100, 100]) == ({1: 0, 2: 1, 4: 0}, [0, 40])
