@@ -123,7 +123,8 @@ def test_labels_of_very_many_values(spark):
     assert all(x["predicted"] == (x["doc_id"] % 3 == 0) for x in found)
     scaled = fitting.graded(labels, "quality").collect()
     assert len(scaled) == 400 and 50 < len({x["quality"] for x in scaled}) <= fitting.MOST_GRADES
-    assert max(abs(x["quality"] - (x["doc_id"] / 4 + (200 if x["doc_id"] % 3 == 0 else 0))) for x in scaled) < 3
+    far = [x for x in scaled if abs(x["quality"] - (x["doc_id"] / 4 + (200 if x["doc_id"] % 3 == 0 else 0))) >= 3]
+    assert len(far) <= 5  # one grade may lie over the gap
     graded = C.grade(docs, C.train(docs, labels, rows=20, any_scale=True)).collect()
     high = [x["expected_grade"] for x in graded if x["doc_id"] % 3 == 0]
     low = [x["expected_grade"] for x in graded if x["doc_id"] % 3]
