@@ -23,8 +23,6 @@ CAPACITY = 4096
 END_ID = 1
 #: Pieces that are packed together; parts of this size are packed side by side.
 PART_ROWS = 20000
-#: The emptiest bins among which swaps are sought at a time.
-NEIGHBOURS = 2048
 #: Bins with more free places than this are opened again and packed with those of other parts.
 SLACK = 16
 #: Distinct chunks whose ids a task remembers, and the longest that it remembers.
@@ -175,21 +173,117 @@ def _improve(near: list[list[int]], size: list[int], capacity: int) -> bool:
     return False
 
 
-def pack(lengths: np.ndarray, capacity: int = CAPACITY, moves: int = 300) -> list[list[int]]:
+class _Search:
+    """The same moves as _improve(), one after the other: after a move only what its two bins bear on is worked out again.
+
+    Of a bin's offers (nothing, one document, or two) the smallest that leaves it within the capacity is best, as a larger
+    gain is always the larger step; so a document's best move to a bin is one search among the bin's sorted offers.
+    """
+
+    def __init__(self, bins: list[list[int]], size: np.ndarray, capacity: int) -> None:
+        self.bins, self.size, self.capacity = bins, size, capacity
+        self.docs = np.array(sorted(i for b in bins for i in b), np.int64)
+        self.at = np.full(len(size), -1)
+        for b, members in enumerate(bins):
+            self.at[members] = b
+        self.fill = np.array([int(size[b].sum()) for b in bins], np.int64)
+        offers = [self._offers(b) for b in range(len(bins))]
+        self.keys = np.concatenate([x + b * self._wide for b, x in enumerate(offers)])
+        #: Documents that may have a move: all at first, later those for which a changed bin has one.
+        self.able = np.zeros(len(size), bool)
+        self.able[self.docs] = True
+
+    @property
+    def _wide(self) -> int:
+        return 4 * self.capacity
+
+    def _offers(self, b: int) -> np.ndarray:
+        """The sums that bin b can give, in order."""
+        own, counts = np.unique(self.size[self.bins[b]], return_counts=True)
+        one, two = np.triu_indices(len(own), 1)
+        return np.unique(np.concatenate([[0], own, own[one] + own[two], 2 * own[counts > 1]])).astype(np.int64)
+
+    def _seek(self, i: int) -> int | None:
+        """The bin that document i's best move is to, if it has one."""
+        x, a = int(self.size[i]), int(self.at[i])
+        bins, free = np.arange(len(self.bins)) * self._wide, self.capacity - self.fill
+        place = np.minimum(np.searchsorted(self.keys, bins + np.maximum(0, x - free)), len(self.keys) - 1)
+        gain = x - (self.keys[place] - bins)
+        step = np.where((gain > 0) & (gain <= free), gain * (self.fill - self.fill[a] + gain), 0)
+        step[a] = 0
+        best = int(step.argmax())
+        return best if step[best] > 0 else None
+
+    def _meet(self, b: int) -> None:
+        """Mark the documents of other bins that have a move to bin b, which has changed."""
+        offers, free, docs = self._segment(b), self.capacity - self.fill[b], self.docs
+        x = self.size[docs]
+        place = np.searchsorted(offers, np.maximum(0, x - free))
+        gain = x - offers[np.minimum(place, len(offers) - 1)]
+        fits = (place < len(offers)) & (gain > 0) & (gain <= free) & (self.fill[b] - self.fill[self.at[docs]] + gain > 0)
+        self.able[docs[fits & (self.at[docs] != b)]] = True
+
+    def _segment(self, b: int) -> np.ndarray:
+        lo, hi = np.searchsorted(self.keys, [b * self._wide, (b + 1) * self._wide])
+        return self.keys[lo:hi] - b * self._wide
+
+    def move(self) -> bool:
+        """Make one move, of the largest document that has one in the emptiest bin that has any; False if none is left."""
+        able = self.docs[self.able[self.docs]]
+        order = able[np.lexsort((-self.size[able], self.at[able], self.fill[self.at[able]]))].tolist()
+        for i in order:
+            b = self._seek(i)
+            if b is not None:
+                break
+            self.able[i] = False
+        else:
+            return False
+        a, x = int(self.at[i]), int(self.size[i])
+        offers = self._segment(b)
+        given = int(offers[np.searchsorted(offers, max(0, x - (self.capacity - int(self.fill[b]))))])
+        back = self._giving(b, given)
+        self.bins[a] = [k for k in self.bins[a] if k != i] + back
+        self.bins[b] = [k for k in self.bins[b] if k not in back] + [i]
+        self.at[i], self.at[back] = b, a
+        self.fill[a] += given - x
+        self.fill[b] += x - given
+        for c in (a, b):
+            lo, hi = np.searchsorted(self.keys, [c * self._wide, (c + 1) * self._wide])
+            self.keys = np.concatenate([self.keys[:lo], self._offers(c) + c * self._wide, self.keys[hi:]])
+        self.able[self.bins[a] + self.bins[b]] = True
+        for c in (a, b):
+            self._meet(c)
+        return True
+
+    def _giving(self, b: int, given: int) -> list[int]:
+        if not given:
+            return []
+        by_size: dict[int, list[int]] = defaultdict(list)
+        for k in self.bins[b]:
+            by_size[int(self.size[k])].append(k)
+        if given in by_size:
+            return [by_size[given][0]]
+        y = next(y for y in by_size if given - y in by_size and (given != 2 * y or len(by_size[y]) > 1))
+        return [by_size[y][0], by_size[given - y][1 if given == 2 * y else 0]]
+
+
+def pack(lengths: np.ndarray, capacity: int = CAPACITY) -> list[list[int]]:
     """Bins of indexes of lengths, none over capacity: best fit, then swaps of a local search.
 
-    The search ends when the bins are as few as the lengths' sum allows, when no move among the NEIGHBOURS emptiest
-    bins is left, or after so many moves: bounds on the work, which leave every piece in a bin.
+    The search ends when the bins are as few as the lengths' sum allows, or when no move between two bins is left that
+    increases the squared fill. Full bins have none.
     """
-    size, bins = [int(x) for x in lengths], best_fit(lengths, capacity)
-    least = ceil(sum(size) / capacity)
-    order = sorted(range(len(bins)), key=lambda b: sum(size[i] for i in bins[b]))
-    near, rest = [bins[b] for b in order[:NEIGHBOURS]], [bins[b] for b in order[NEIGHBOURS:]]
-    for _ in range(moves):
-        if len(near) + len(rest) <= least or not _improve(near, size, capacity):
-            break
-        near = [b for b in near if b]
-    return near + rest
+    size, bins = np.asarray(lengths, np.int64), best_fit(lengths, capacity)
+    least = ceil(int(size.sum()) / capacity)
+    if len(bins) <= least:
+        return bins
+    open_ = [b for b in bins if size[b].sum() < capacity]
+    full = [b for b in bins if size[b].sum() == capacity]
+    search = _Search(open_, size, capacity)
+    left = len(bins)
+    while left > least and search.move():
+        left = len(full) + sum(map(bool, search.bins))
+    return full + [b for b in search.bins if b]
 
 
 def _packed(rows: DataFrame, n_parts: int, level: int, capacity: int) -> DataFrame:

@@ -56,3 +56,32 @@ def test_tokenizers_of_other_kinds_encode_whole_texts():
         for text in ("", "Two words", " a  b\n\nc.", "Ünï, CODE. x,y"):
             ids = coder.model.encode(text, add_special_tokens=False).ids
             assert np.frombuffer(coder.ids(text), "<u4").tolist() == ids
+
+
+def test_no_improving_move_is_left():
+    for low, high, n, capacity in ((1000, 1501, 900, 4096), (700, 1401, 700, 4096), (18, 45, 200, 100), (1, 100, 150, 100)):
+        lengths = np.random.Generator(np.random.PCG64(3)).integers(low, high, n)
+        bins = P.pack(lengths, capacity)
+        assert sorted(i for b in bins for i in b) == list(range(n)) and all(lengths[b].sum() <= capacity for b in bins)
+        least = -(-int(lengths.sum()) // capacity)
+        assert len(bins) == least or not P._improve([list(b) for b in bins], [int(x) for x in lengths], capacity)
+
+
+def test_small_sets_against_all_packings():
+    """On few documents the fewest bins by trying all ways; the search is at most one bin above it, and mostly on it."""
+
+    def fewest(left, bins, best):
+        if not left:
+            return min(best, len(bins))
+        if len(bins) >= best:
+            return best
+        for k in range(len(bins)):
+            if bins[k] + left[0] <= 30:
+                best = fewest(left[1:], [*bins[:k], bins[k] + left[0], *bins[k + 1 :]], best)
+        return fewest(left[1:], [*bins, left[0]], best)
+
+    over = 0
+    for seed in range(20):
+        lengths = np.sort(np.random.Generator(np.random.PCG64(seed)).integers(4, 20, 10))[::-1]
+        over += len(P.pack(lengths, 30)) - fewest(lengths.tolist(), [], 10)
+    assert 0 <= over <= 2
