@@ -18,7 +18,7 @@ def op4_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.line_groups(load(spark, sf_dir, "documents"), budget=False)
+    return line_dedup.line_groups(load(spark, sf_dir, "documents"), budget=False, least=1)
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
