@@ -33,6 +33,8 @@ PATH_TOKENS = 48
 _MARK = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?>(?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*))>", re.S)
 _NAMED = re.compile(r"(?:class|id|role|itemprop|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _PARTS = re.compile(r"[A-Za-z][a-z]+|[A-Z]+")
+_ATTRIBUTE = re.compile(r"([^\s=>/\"']+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
+_NO_DISPLAY = re.compile(r"display\s*:\s*none", re.I)
 
 
 @dataclass
@@ -47,13 +49,23 @@ def _tokens(tag: str, attributes: str) -> tuple[str, ...]:
     return (tag, *(f".{x.lower()}" for x in names))
 
 
+def _not_shown(attributes: str) -> bool:
+    """Whether attributes hide their element: hidden, or a style that displays nothing."""
+    lowered = attributes.lower()
+    if "hidden" not in lowered and "display" not in lowered:
+        return False
+    named = [(m[1].lower(), m[2] or "") for m in _ATTRIBUTE.finditer(attributes)]
+    return any(name == "hidden" or (name == "style" and _NO_DISPLAY.search(value) is not None) for name, value in named)
+
+
 def leaf_blocks(html: str | None) -> list[Block]:
     """Blocks with text in page order: references decoded, white space made one space, ends trimmed.
 
     Elements that hold blocks end a block at both tags; inline elements and line breaks do not. Hidden elements are
     passed over: scripts, styles, titles, text areas and frames up to their end tags or else the page's end, others up
     to their own or their parent's end. One of these others that has no end tag at all hides nothing but what may stand
-    in it, and one of either kind that is closed in itself (scripts aside) hides nothing. Null and empty pages have no blocks. The work grows with the page's length.
+    in it, and one of either kind that is closed in itself (scripts aside) hides nothing. Block elements with the attribute hidden, or a style of
+    display: none, are hidden to their end; inline ones are read. Null and empty pages have no blocks. The work grows with the page's length.
     """
     page, out = html or "", []
     last = page.rfind(">")  # behind it no tag ends
@@ -110,7 +122,7 @@ def leaf_blocks(html: str | None) -> list[Block]:
             continue
         if tag == "annotation" and not m[1]:
             # Inside a formula: its text goes, the block goes on.
-            end = re.compile(r"</annotation\s*>", re.I).search(page, at)
+            end = re.compile(r"</annotation\s*>", re.I).search(page, at) if ends_later(tag) else None
             at = end.end() if end else at
             continue
         flush()
@@ -139,7 +151,7 @@ def leaf_blocks(html: str | None) -> list[Block]:
                     if stack[i][0] in stops:
                         break
             above = stack[-1] if stack else ("", (), False)
-            stack.append((tag, (above[1] + _tokens(tag, m[3]))[-PATH_TOKENS:], above[2] or tag in HIDDEN))
+            stack.append((tag, (above[1] + _tokens(tag, m[3]))[-PATH_TOKENS:], above[2] or tag in HIDDEN or _not_shown(m[3])))
             opened[tag] = opened.get(tag, 0) + 1
     flush()
     return out

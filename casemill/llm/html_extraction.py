@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from casemill.llm.common import sliced
-from casemill.llm.html_blocks import WIDTH, leaf_blocks, vectors
+from casemill.llm.html_blocks import WIDTH, Block, leaf_blocks, vectors
 
 HIDDEN_SIZE = 16
 #: Generated pages that the labeller is trained on, pages in a step, and passes over them.
@@ -22,6 +22,8 @@ SEED = 9
 RENAMED = 0.3
 #: Pages that are labelled together, and blocks, shorter pages counted as the longest of their step; a longer page runs alone.
 PAGES, STEP_BLOCKS = 128, 16_384
+#: Blocks whose vectors are held at a time, or those of one page.
+BLOCKS = 20_000
 
 # Names that pages give to their parts, for the generated training pages.
 PARTS = {
@@ -234,6 +236,19 @@ def trained() -> dict[str, np.ndarray]:
     return w
 
 
+def _by_blocks(pages: list[list[Block]]) -> Iterator[list[list[Block]]]:
+    """The pages in order, in parts of at most BLOCKS blocks or of one page."""
+    own, n = [], 0
+    for blocks in pages:
+        if own and n + len(blocks) > BLOCKS:
+            yield own
+            own, n = [], 0
+        own.append(blocks)
+        n += len(blocks)
+    if own:
+        yield own
+
+
 def extract(pages: DataFrame, weights: dict[str, np.ndarray] | None = None) -> DataFrame:
     """One row per row of pages (page_id, url, html): page_id, url, text, n_chars, n_blocks.
 
@@ -248,7 +263,7 @@ def extract(pages: DataFrame, weights: dict[str, np.ndarray] | None = None) -> D
         words: dict = {}
         for batch in sliced(batches, PAGES):
             blocks = [leaf_blocks(x) for x in batch.column(2).to_pylist()]
-            p = label(w, [vectors(b, paths, words) for b in blocks])
+            p = [q for own in _by_blocks(blocks) for q in label(w, [vectors(b, paths, words) for b in own])]
             texts = ["\n".join(x.text for x, main in zip(b, q, strict=True) if main >= 0.5) for b, q in zip(blocks, p, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(b) for b in blocks], pa.int32())], names=["page_id", "url", "text", "n_blocks"])
 

@@ -122,3 +122,37 @@ def slow_label(w, x):
             out[t] = h
         sides[side] = out
     return sig(np.concatenate([sides["f"], sides["r"]], axis=1) @ w["y"] + w["yb"])
+
+
+@pytest.mark.parametrize(
+    ("page", "texts"),
+    [
+        ("<p hidden>a</p><p>b</p>", ["b"]),
+        ("<div hidden=''><p>a</p>c</div>d", ["d"]),
+        ("<div style='color: red; display : none'>a</div>b", ["b"]),
+        ('<p style="DISPLAY:NONE">a</p><p style=display:none>a</p>b', ["b"]),
+        ('<p class="not hidden" data-x="hidden" aria-hidden="true">a</p>', ["a"]),
+        ('<p title="style=display:none">a</p><p style="display:block">b</p>', ["a", "b"]),
+        ("<section><div hidden>a<p>b</section>c", ["c"]),
+        ("<p>x <span hidden>y</span></p>", ["x y"]),
+    ],
+)
+def test_hidden_elements(page, texts):
+    assert [b.text for b in B.leaf_blocks(page)] == texts
+
+
+def test_unclosed_annotations_are_linear():
+    took = []
+    for n in (8_000, 32_000):
+        began = time.perf_counter()
+        blocks = B.leaf_blocks("<p>" + "<annotation>x " * n)
+        took.append(time.perf_counter() - began)
+        assert blocks[0].text.count("x") == n
+    assert took[1] < 12 * took[0] + 0.2
+
+
+def test_pages_of_very_many_blocks_go_by_parts(monkeypatch):
+    pages = [B.leaf_blocks("<p>a</p>" * n) for n in (3, 0, 9, 1, 1)]
+    monkeypatch.setattr(H, "BLOCKS", 4)
+    parts = list(H._by_blocks(pages))
+    assert [x for part in parts for x in part] == pages and [[len(x) for x in part] for part in parts] == [[3, 0], [9], [1, 1]]
