@@ -109,6 +109,7 @@ def gap_flags(df: DataFrame, by: str, domain: str, text: str, least_domains: int
 
 def five_numbers(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """Quartiles, and the least and greatest value within one and a half quartile ranges of them; groups with a null key are left out."""
+    df = settled(df.select(*by, value), "numbers")  # every pass reads it: what it takes to work a value out is done once
     q = quantiles(df, by, value, [0.25, 0.5, 0.75])
     q = q.select(*by, F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
     reach = 1.5 * (F.col("q3") - F.col("q1"))
