@@ -190,8 +190,11 @@ def minutes_seconds(ms: Column | str) -> Column:
 
 
 def iso_time(ms: Column | str) -> Column:
-    """Milliseconds since 1970 as an ISO 8601 text in UTC."""
-    return F.date_format(F.to_utc_timestamp(F.timestamp_millis(col(ms).cast("bigint")), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    """Milliseconds since 1970 as an ISO 8601 text in UTC; years outside 0 to 9999 have a sign and six digits, as toISOString writes them."""
+    at = F.to_utc_timestamp(F.timestamp_millis(col(ms).cast("bigint")), F.current_timezone())
+    year = F.year(at)
+    signed = F.concat(F.when(year < 0, "-").otherwise("+"), F.lpad(F.abs(year).cast("string"), 6, "0"))
+    return F.concat(F.when(year.between(0, 9999), F.lpad(year.cast("string"), 4, "0")).otherwise(signed), F.date_format(at, "-MM-dd'T'HH:mm:ss.SSS'Z'"))
 
 
 def imported_trap(trap: Column | str, level: Column | str) -> Column:

@@ -197,7 +197,8 @@ def prompt_texts(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders", "o_orderkey", "o_orderstatus", "o_orderpriority").select("o_orderkey", text.alias("prompt"))
 
 
-@query("SELECT event_id, strftime(make_timestamp(event_id * 86400123000), '%Y-%m-%dT%H:%M:%S.%gZ') AS shown FROM events")
+@query("""SELECT event_id, CASE WHEN year(t) BETWEEN 0 AND 9999 THEN lpad(year(t)::VARCHAR, 4, '0') ELSE CASE WHEN year(t) < 0 THEN '-' ELSE '+' END || lpad(abs(year(t))::VARCHAR, 6, '0') END || strftime(t, '-%m-%dT%H:%M:%S.%gZ') AS shown
+ FROM (SELECT event_id, make_timestamp(event_id * 86400123000) AS t FROM events)""")
 def iso_times(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events", "event_id").select("event_id", C.iso_time(F.col("event_id") * 86400123).alias("shown"))
 

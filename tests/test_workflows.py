@@ -191,3 +191,10 @@ def test_snapshot_is_loaded_once_until_refreshed(spark):
     assert seeds.rows().count() == 2
     seeds.clear()
     assert not spark.catalog.tableExists("seeds_view") and seeds.rows().count() == 4
+
+
+def test_iso_time_of_far_years(spark):
+    """Years of more than four digits, and years before 0, as toISOString writes them."""
+    at = [0, 253402300799999, 253402300800000, -62167219200000, -62167219200001]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in at], "ms long").select(cases.iso_time("ms")).collect()]
+    assert got == ["1970-01-01T00:00:00.000Z", "9999-12-31T23:59:59.999Z", "+010000-01-01T00:00:00.000Z", "0000-01-01T00:00:00.000Z", "-000001-12-31T23:59:59.999Z"]
