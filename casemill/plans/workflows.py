@@ -248,14 +248,18 @@ def backfilled_fields(spark: SparkSession, d: str) -> DataFrame:
 
 
 _PART = "least({}::DOUBLE, greatest(0::DOUBLE, coalesce({}, 0)))"
+#: Parts for ambiguous cases, full for others; added in the rubric's order, as a sum of doubles hangs on it.
+_FULL = "CASE WHEN o_orderstatus = 'P' THEN 0::DOUBLE ELSE {}::DOUBLE END"
 
 
-@query(f"""WITH r AS (SELECT o_orderkey AS k, max(l_quantity) / 40 AS a, sum(l_discount) * 4 AS b, count(*) / 2.0 AS c FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderkey % 3 <> 0 GROUP BY 1)
- SELECT o_orderkey, CASE WHEN k IS NULL OR o_orderkey % 11 = 0 THEN NULL ELSE floor(({_PART.format('1.0', 'a')} + CASE WHEN o_orderstatus = 'P' THEN 0.0 ELSE 4.0 END + {_PART.format('2.0', 'b')} + {_PART.format('1.0', 'c')}) * 10 + 0.5) / 10 END AS score,
+@query(f"""WITH r AS (SELECT o_orderkey AS k, max(l_quantity) / 40 AS a, sum(l_discount::DECIMAL(18, 6))::DOUBLE * 4 AS b, count(*) / 2.0 AS c FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderkey % 3 <> 0 GROUP BY 1)
+ SELECT o_orderkey, CASE WHEN k IS NULL OR o_orderkey % 11 = 0 THEN NULL ELSE floor(({_PART.format('1.0', 'a')} + {_FULL.format(1.0)} + {_FULL.format(1.5)} + {_FULL.format(1.5)} + {_PART.format('2.0', 'b')} + {_PART.format('1.0', 'c')}) * 10 + 0.5) / 10 END AS score,
  CASE WHEN k IS NULL OR o_orderkey % 11 = 0 THEN 'pending' ELSE 'scored' END AS status FROM orders LEFT JOIN r ON k = o_orderkey""")
 def scored_by_responses(spark: SparkSession, d: str) -> DataFrame:
     items = table(spark, d, "lineitem", "l_orderkey", "l_quantity", "l_discount").where(F.col("l_orderkey") % 3 != 0)
-    made = items.groupBy("l_orderkey").agg((F.max("l_quantity") / 40).alias("scenarioClarityScore"), (F.sum("l_discount") * 4).alias("wiseRefusalScore"), (F.count("*") / 2.0).alias("difficultyCalibrationScore"))
+    # Added as decimals: a sum of doubles hangs on the order of the rows, and may fall on either side of a rounding.
+    discounts = F.sum(F.col("l_discount").cast("decimal(18,6)"))
+    made = items.groupBy("l_orderkey").agg((F.max("l_quantity") / 40).alias("scenarioClarityScore"), (discounts.cast("double") * 4).alias("wiseRefusalScore"), (F.count("*") / 2.0).alias("difficultyCalibrationScore"))
     none = F.lit(None).cast("double")
     others = [none.alias(name) for name, _, _ in vocab.RUBRIC if name not in made.columns]
     responses = made.select(F.col("l_orderkey").alias("custom_id"), (F.col("l_orderkey") % 11 == 0).alias("failed"), *[c for c in made.columns if c != "l_orderkey"], *others, F.lit(None).cast("string").alias("notes"))

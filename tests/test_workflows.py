@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from itertools import permutations
 
 import numpy as np
 import pytest
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from casemill.functions import cases, vocab
 from casemill.operators import aggregates, external, filters, mutations, similarity
+from casemill.plans.catalog import QUERIES
 from casemill.sources import readers, sinks
 from casemill.streaming import responses
 
@@ -198,3 +200,13 @@ def test_iso_time_of_far_years(spark):
     at = [0, 253402300799999, 253402300800000, -62167219200000, -62167219200001]
     got = [r[0] for r in spark.createDataFrame([(x,) for x in at], "ms long").select(cases.iso_time("ms")).collect()]
     assert got == ["1970-01-01T00:00:00.000Z", "9999-12-31T23:59:59.999Z", "+010000-01-01T00:00:00.000Z", "0000-01-01T00:00:00.000Z", "-000001-12-31T23:59:59.999Z"]
+
+
+def test_scores_hang_on_no_order_of_rows(spark, tmp_path):
+    """Sums of the same discounts in any order: as doubles some fall below a rounding to one decimal, some on it."""
+    own = sorted(set(permutations([0.0, 0.01, 0.01, 0.08])))
+    keys = [k for k in range(1, 1000, 3) if k % 11][: len(own)]
+    lines = [(k, 6.0, d) for k, p in zip(keys, own, strict=True) for d in p]
+    for name, rows, schema in (("lineitem", lines, "l_orderkey long, l_quantity double, l_discount double"), ("orders", [(k, "P") for k in keys], "o_orderkey long, o_orderstatus string")):
+        spark.createDataFrame(rows, schema).coalesce(1).toPandas().to_parquet(tmp_path / f"{name}.parquet")
+    assert len({r["score"] for r in QUERIES["scored_by_responses"](spark, str(tmp_path)).collect()}) == 1
