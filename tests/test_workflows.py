@@ -150,6 +150,21 @@ def test_similarity_tiles(spark, monkeypatch, n):
         assert row["mean"] == pytest.approx(np.mean(list(s.values()))) and row["deviation"] == pytest.approx(np.std(list(s.values())), abs=1e-9) and row["greatest"] == pytest.approx(max(s.values()))
 
 
+def test_tiles_send_few_copies():
+    """A row was sent to a tile for every 1,000 rows: 600 times of 600,000."""
+    assert [similarity.blocks_of(n) for n in (0, 1, 2500, 100_000, 600_000)] == [1, 1, 3, 16, 37]
+
+
+def test_bins_by_their_edges():
+    """Counting by the edges of bins is the same as rounding and binning each product, on the edges too."""
+    low, high, bins = -0.3, 0.7, 7
+    edges = similarity._edges(low, high, bins, 9)
+    s = np.concatenate([np.random.default_rng(1).uniform(low, high, 5000), edges, np.nextafter(edges, -1), np.nextafter(edges, 1), [low, high]])
+    want = np.minimum(bins - 1, np.floor((np.round(s, 9) - low) * bins / (high - low)))
+    assert (sum((s >= x).astype(int) for x in edges) == want).all()
+    assert similarity._edges(0.5, 0.5, 3, 9) == [np.inf] * 2
+
+
 def test_progress_by_window(spark, tmp_path):
     folder = tmp_path / "in"
     folder.mkdir()
