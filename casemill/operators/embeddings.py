@@ -28,48 +28,72 @@ FAN = 32
 def tfidf(df: DataFrame, key: str, text: str, places: int = PLACES) -> DataFrame:
     """key, at (places, in order), w (weights, of length one together) of each row; texts without words have none.
 
-    A weight is 1 + log(count) times log((1 + n) / (1 + rows with it)) + 1, the signed sum of the words that share a
-    place taken as their count. Keys are unique; rows with a null key are left out.
+    A weight is 1 + log(count) times log((1 + n) / (1 + rows with it)) + 1, the words that share a place taken as one.
+    A row is counted and weighed where it is: only how many rows have each place is added up. Rows with a null key are
+    left out.
     """
     rows = df.where(F.col(key).isNotNull())
-    place = F.pmod(F.xxhash64("word"), F.lit(places)).cast("int")
-    counts = rows.select(key, F.explode(words(text)).alias("word")).groupBy(key, place.alias("at")).agg(F.count("*").alias("tf"))
-    counts = settled(counts, "tfidf")
+    placed = rows.select(F.col(key).alias("k"), F.transform(words(text), lambda w: F.pmod(F.xxhash64(w), F.lit(places)).cast("int")).alias("u"))
+    kind = rows.schema[key].dataType.simpleString()
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in _slices(batch):
+                u = part.column(1)
+                # Null texts have no places; a list's places are told from the next list's by its row.
+                sizes = np.diff(u.offsets.to_numpy()) if u.null_count == 0 else np.array([len(x) if x is not None else 0 for x in u.to_pylist()])
+                cells, tf = np.unique(np.repeat(np.arange(part.num_rows, dtype=np.int64), sizes) * places + u.flatten().to_numpy(), return_counts=True)
+                offsets = pa.array(np.searchsorted(cells, np.arange(part.num_rows + 1, dtype=np.int64) * places), pa.int32())
+                lists = [pa.ListArray.from_arrays(offsets, x) for x in (pa.array(cells % places, pa.int32()), pa.array(tf, pa.int32()))]
+                yield pa.RecordBatch.from_arrays([part.column(0), *lists], names=["k", "at", "tf"])
+
+    counts = settled(placed.mapInArrow(count, f"k {kind}, at array<int>, tf array<int>"), "tfidf")
     # As many rows as there are places at most.
-    seen = counts.groupBy("at").agg(F.count("*").alias("df"))
-    n = rows.agg(F.count("*")).scalar()
-    weighed = counts.join(F.broadcast(seen), "at").withColumn("w", (1 + F.log("tf")) * (F.log((1 + n) / (1 + F.col("df"))) + 1))
-    listed = weighed.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("at", "w"))).alias("v"))
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x["w"] * x["w"]))
-    found = listed.select(key, F.transform("v", lambda x: x["at"]).alias("at"), F.transform("v", lambda x: x["w"] / norm).alias("w"))
-    return rows.select(key).join(found, key, "left").select(key, *[F.coalesce(c, F.array().cast(k)).alias(c) for c, k in (("at", "array<int>"), ("w", "array<double>"))])
+    seen = np.zeros(places)
+    for x in counts.select(F.explode("at").alias("at")).groupBy("at").agg(F.count("*").alias("n")).collect():
+        seen[x["at"]] = x["n"]
+    share = np.log((1 + counts.count()) / (1 + seen)) + 1
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, at, tf = _flat(batch, "tf")
+            w = (1 + np.log(tf)) * share[at]
+            norm = np.sqrt(np.bincount(row, w * w, batch.num_rows))
+            offsets = pa.array(np.searchsorted(row, np.arange(batch.num_rows + 1)), pa.int32())
+            lists = [pa.ListArray.from_arrays(offsets, x) for x in (pa.array(at, pa.int32()), pa.array(w / norm[row], pa.float64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *lists], names=["k", "at", "w"])
 
+    return counts.mapInArrow(weigh, f"k {kind}, at array<int>, w array<double>").withColumnRenamed("k", key)
 
-def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+
+def _slices(batch: pa.RecordBatch, rows: int = 256) -> Iterator[pa.RecordBatch]:
+    for i in range(0, batch.num_rows, rows):
+        yield batch.slice(i, rows)
+
+
+def _flat(batch: pa.RecordBatch, weight: str = "w") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row, place and weight of every entry of a batch (at, w)."""
-    at, w = (batch.column(batch.schema.get_field_index(c)) for c in ("at", "w"))
+    at, w = (batch.column(batch.schema.get_field_index(c)) for c in ("at", weight))
     sizes = np.diff(at.offsets.to_numpy())
     return np.repeat(np.arange(batch.num_rows), sizes), at.flatten().to_numpy(), w.flatten().to_numpy()
 
 
-def _times(batch: pa.RecordBatch, matrix: np.ndarray) -> np.ndarray:
-    """The batch's rows times a matrix of one row a place."""
+def _dense(batch: pa.RecordBatch, places: int) -> np.ndarray:
+    """The batch's rows as a matrix: products of dense blocks are far faster than additions entry by entry."""
     row, at, w = _flat(batch)
-    out = np.zeros((batch.num_rows, matrix.shape[1]))
-    for i in range(0, len(row), 1 << 16):
-        part = slice(i, i + (1 << 16))
-        np.add.at(out, row[part], matrix[at[part]] * w[part, None])
+    out = np.zeros((batch.num_rows, places))
+    out[row, at] = w
     return out
 
 
-def _added(rows: DataFrame, each: Callable[[pa.RecordBatch], np.ndarray], shape: tuple[int, int]) -> np.ndarray:
-    """The sum of a matrix of each batch over all rows."""
+def _added(rows: DataFrame, each: Callable[[np.ndarray], np.ndarray], places: int, shape: tuple[int, int]) -> np.ndarray:
+    """The sum of a matrix of each block of rows, given as a dense matrix, over all rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(shape)
         for batch in batches:
-            for i in range(0, batch.num_rows, 1024):
-                total += each(batch.slice(i, 1024))
+            for part in _slices(batch, 1024):
+                total += each(_dense(part, places))
         yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([total.tobytes()], pa.binary())], names=["task", "m"])
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -92,17 +116,9 @@ def directions(rows: DataFrame, places: int = PLACES, k: int = DIRECTIONS, round
     wide = min(places, k + EXTRA)
     basis = np.linalg.qr(np.random.default_rng(seed).normal(size=(places, wide)))[0]
 
-    def product(batch: pa.RecordBatch, basis: np.ndarray) -> np.ndarray:
-        row, at, w = _flat(batch)
-        own, out = _times(batch, basis), np.zeros((places, wide))
-        for i in range(0, len(row), 1 << 16):
-            part = slice(i, i + (1 << 16))
-            np.add.at(out, at[part], own[row[part]] * w[part, None])
-        return out
-
     for _ in range(rounds):
-        basis = np.linalg.qr(_added(rows, lambda batch, b=basis: product(batch, b), (places, wide)))[0]
-    inner = _added(rows, lambda batch, b=basis: (y := _times(batch, b)).T @ y, (wide, wide))
+        basis = np.linalg.qr(_added(rows, lambda x, b=basis: x.T @ (x @ b), places, (places, wide)))[0]
+    inner = _added(rows, lambda x, b=basis: (y := x @ b).T @ y, places, (wide, wide))
     values, vectors = np.linalg.eigh((inner + inner.T) / 2)
     order = np.argsort(-values)[:k]
     found = basis @ vectors[:, order]
@@ -117,9 +133,8 @@ def projected(rows: DataFrame, key: str, basis: np.ndarray, unit: bool = True) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, batch.num_rows, 1024):
-                part = batch.slice(i, 1024)
-                y = _times(part, shared.value)
+            for part in _slices(batch, 1024):
+                y = _dense(part, len(shared.value)) @ shared.value
                 if unit:
                     norms = np.linalg.norm(y, axis=1, keepdims=True)
                     y = y / np.where(norms > 0, norms, 1)

@@ -57,3 +57,11 @@ def test_embeddings_bring_topics_together(spark):
     same = np.arange(120)[:, None] % 6 == np.arange(120)[None] % 6
     assert s[same].mean() > s[~same].mean() + 0.5
     assert E.embedded(df.limit(0), "id", "t", 64, 3).count() == 0
+
+
+def test_weights_without_a_shuffle(spark):
+    """Rows are counted and weighed where they are: the plan of the weights moves no row."""
+    df = spark.createDataFrame([*enumerate(_texts(20)), (30, None)], "id long, t string")
+    rows = E.tfidf(df, "id", "t", 64)
+    assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
+    assert len(rows.collect()) == 21
