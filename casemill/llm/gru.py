@@ -14,8 +14,10 @@ import numpy as np
 
 HIDDEN = 16
 WORDS_OF_CLASS = 64
-#: Lanes and steps of a window, in training and in scoring.
-TRAIN_LANES, SCORE_LANES, STEPS = 64, 512, 16
+#: Lanes of a window, in training (64 for few words, more for many) and in scoring.
+TRAIN_LANES, MOST_LANES, SCORE_LANES = 64, 512, 512
+#: Steps of a window, in training and in scoring, and words of a block whose softmax is worked out at a time.
+STEPS, SCORE_STEPS, BLOCK = 16, 64, 2048
 RATE = 0.2
 #: Longer documents are learnt from in parts of so many words, in several lanes.
 TRAIN_WORDS = 512
@@ -24,8 +26,8 @@ TRAIN_WORDS = 512
 class Lanes:
     """Windows over documents (tag, ids); ids begin with the first word, and `opening` stands before it."""
 
-    def __init__(self, documents: Iterator[tuple[Any, np.ndarray]], lanes: int, opening: int) -> None:
-        self.documents, self.opening = documents, opening
+    def __init__(self, documents: Iterator[tuple[Any, np.ndarray]], lanes: int, opening: int, steps: int = STEPS) -> None:
+        self.documents, self.opening, self.steps = documents, opening, steps
         self.held: list[tuple[Any, np.ndarray] | None] = [None] * lanes
         self.at = [0] * lanes
         self.open = True
@@ -45,23 +47,24 @@ class Lanes:
         A lane whose documents have run out is left out of the windows that follow, with its column of the state; fresh
         tells which columns go on (last value).
         """
-        n = len(self.held)
+        n, steps = len(self.held), self.steps
         while True:
-            given, wanted = np.zeros((STEPS, n), np.int64), np.full((STEPS, n), -1, np.int64)
-            fresh, owner = np.zeros((STEPS, n), bool), np.zeros((STEPS, n), np.int64)
+            # Lane by lane here, step by step outside.
+            given, wanted = np.zeros((n, steps), np.int32), np.full((n, steps), -1, np.int32)
+            fresh, owner = np.zeros((n, steps), bool), np.zeros((n, steps), np.int32)
             tags: list[Any] = []
             ended: list[Any] = []
             for lane in range(n):
                 step = 0
-                while step < STEPS and (self.held[lane] is not None or self._next(lane)):
+                while step < steps and (self.held[lane] is not None or self._next(lane)):
                     tag, ids = self.held[lane]
                     at = self.at[lane]
-                    k = min(STEPS - step, len(ids) - at)
-                    wanted[step : step + k, lane] = ids[at : at + k]
-                    given[step, lane] = ids[at - 1] if at else self.opening
-                    given[step + 1 : step + k, lane] = ids[at : at + k - 1]
-                    fresh[step, lane] = at == 0
-                    owner[step : step + k, lane] = len(tags)
+                    k = min(steps - step, len(ids) - at)
+                    wanted[lane, step : step + k] = ids[at : at + k]
+                    given[lane, step] = ids[at - 1] if at else self.opening
+                    given[lane, step + 1 : step + k] = ids[at : at + k - 1]
+                    fresh[lane, step] = at == 0
+                    owner[lane, step : step + k] = len(tags)
                     tags.append(tag)
                     step += k
                     self.at[lane] = at + k
@@ -70,7 +73,7 @@ class Lanes:
                         self.held[lane] = None
             if not tags:
                 return
-            yield given, wanted, fresh, owner, tags, ended
+            yield *(np.ascontiguousarray(x.T) for x in (given, wanted, fresh, owner)), tags, ended
             if not self.open:
                 # Lanes without a document close up, so that the last long ones don't drag empty lanes along.
                 kept = [i for i in range(n) if self.held[i] is not None]
@@ -81,12 +84,27 @@ class Lanes:
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+    out = np.exp(-x)
+    out += 1
+    return np.reciprocal(out, out=out)
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+def _exponents(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray | float]:
+    """exp of x less the last value, and its sums by row: nothing is taken off as long as exp bears it."""
+    with np.errstate(over="ignore"):
+        off = np.exp(x)
+        sums = off @ np.ones(x.shape[1], x.dtype)
+    if 1e-30 < sums.min() and sums.max() < 1e30:
+        return off, sums, 0.0
+    most = x.max(axis=1)
+    off = np.exp(x - most[:, None])
+    return off, off.sum(axis=1), most
+
+
+def _log_chosen(x: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """The log softmax of one value of each row."""
+    _, sums, most = _exponents(x)
+    return x[np.arange(len(x)), chosen] - np.log(sums) - most
 
 
 class Gru:
@@ -140,30 +158,39 @@ class Gru:
             a, u = projected[given[t]], state @ wh
             gates = _sigmoid(a[:, : 2 * h] + u[:, : 2 * h])
             z, r = gates[:, :h], gates[:, h:]
-            new = np.tanh(a[:, 2 * h :] + r * u[:, 2 * h :])
+            new = r * u[:, 2 * h :]
+            new += a[:, 2 * h :]
+            np.tanh(new, out=new)
             if trace is not None:
                 trace.append((state, z, r, new, u[:, 2 * h :]))
             state = new + z * (state - new)
             states[t] = state
         return states, state
 
+    def _by_class(self, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The places of words, class by class, and where each class begins; the last are no words of the softmax."""
+        small = np.minimum(classes, self.n_word_classes).astype(np.uint16)
+        order = np.argsort(small, kind="stable")
+        return order, np.searchsorted(small[order], np.arange(self.n_word_classes + 1))
+
     def log_probabilities(self, states: np.ndarray, wanted: np.ndarray) -> np.ndarray:
         """Natural log probability of each wanted id after a state."""
         p, classes = self.p, self._classes(wanted)
-        found = _log_softmax(states @ p["cw"] + p["cb"])[np.arange(len(wanted)), classes]
-        words = np.flatnonzero(wanted < self.n_words)
-        order = words[np.argsort(classes[words], kind="stable")]
-        ends = np.searchsorted(classes[order], np.arange(self.n_word_classes + 1))
+        found = np.concatenate([_log_chosen(states[i : i + BLOCK] @ p["cw"] + p["cb"], classes[i : i + BLOCK]) for i in range(0, len(wanted), BLOCK)])
+        order, ends = self._by_class(classes)
+        order = order[: ends[-1]]
+        own, words, inner = states[order], wanted[order] % WORDS_OF_CLASS, np.zeros(len(order), found.dtype)
         for c in range(self.n_word_classes):
-            own = order[ends[c] : ends[c + 1]]
-            if len(own):
-                found[own] += _log_softmax(states[own] @ p["ww"][c] + p["wb"][c])[np.arange(len(own)), wanted[own] - c * WORDS_OF_CLASS]
+            for i in range(ends[c], ends[c + 1], BLOCK):
+                j = min(i + BLOCK, ends[c + 1])
+                inner[i:j] = _log_chosen(own[i:j] @ p["ww"][c] + p["wb"][c], words[i:j])
+        found[order] += inner
         return found
 
     def scores(self, documents: Iterator[tuple[Any, np.ndarray]], lanes: int = SCORE_LANES) -> Iterator[tuple[Any, float]]:
         """(tag, natural log probability) of each document, as they end; empty ones have none."""
         projected = self.p["emb"] @ self.p["wx"] + self.p["bias"]
-        state, sums, windows = np.zeros((lanes, self.hidden), np.float32), {}, Lanes(documents, lanes, self.opening)
+        state, sums, windows = np.zeros((lanes, self.hidden), np.float32), {}, Lanes(documents, lanes, self.opening, SCORE_STEPS)
         for given, wanted, fresh, owner, tags, ended in windows:
             if state.shape[0] != given.shape[1]:
                 state = state[windows.going]
@@ -199,50 +226,61 @@ class Gru:
     def _learn_output(self, states: np.ndarray, wanted: np.ndarray) -> np.ndarray:
         """Update the softmax; the loss's gradient by state.
 
-        The loss is divided by a full window's words, so that the few lanes of the last long documents weigh no more.
+        The loss is divided by the words of TRAIN_LANES, so that the few lanes of the last long documents weigh no more.
         """
         p, classes, scale = self.p, self._classes(wanted), np.float32(1 / (TRAIN_LANES * STEPS))
-        off = np.exp(_log_softmax(states @ p["cw"] + p["cb"]))
-        off[np.arange(len(wanted)), classes] -= 1
-        off *= scale
-        back = off @ p["cw"].T
-        self._update("cw", states.T @ off)
-        self._update("cb", off.sum(axis=0))
-        words = np.flatnonzero(wanted < self.n_words)
-        order = words[np.argsort(classes[words], kind="stable")]
-        ends = np.searchsorted(classes[order], np.arange(self.n_word_classes + 1))
+
+        def off(x: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+            found, sums, _ = _exponents(x)
+            found *= (scale / sums)[:, None]
+            found[np.arange(len(x)), chosen] -= scale
+            return found
+
+        order, ends = self._by_class(classes)
+        states, classes = states[order], classes[order]
+        whole = off(states @ p["cw"] + p["cb"], classes)
+        sorted_back = whole @ p["cw"].T
+        words, d_ww, d_wb = wanted[order] % WORDS_OF_CLASS, np.zeros_like(p["ww"]), np.zeros_like(p["wb"])
         for c in range(self.n_word_classes):
-            own = order[ends[c] : ends[c + 1]]
-            if len(own):
-                x = states[own]
-                off = np.exp(_log_softmax(x @ p["ww"][c] + p["wb"][c]))
-                off[np.arange(len(own)), wanted[own] - c * WORDS_OF_CLASS] -= 1
-                off *= scale
-                back[own] += off @ p["ww"][c].T
-                self._update("ww", x.T @ off, c)
-                self._update("wb", off.sum(axis=0), c)
+            i, j = ends[c], ends[c + 1]
+            if i < j:
+                x = states[i:j]
+                own = off(x @ p["ww"][c] + p["wb"][c], words[i:j])
+                sorted_back[i:j] += own @ p["ww"][c].T
+                np.matmul(x.T, own, out=d_ww[c])
+                np.add.reduce(own, axis=0, out=d_wb[c])
+        self._update("cw", states.T @ whole)
+        self._update("cb", whole.sum(axis=0))
+        self._update("ww", d_ww)
+        self._update("wb", d_wb)
+        back = np.empty_like(sorted_back)
+        back[order] = sorted_back
         return back
 
     def _learn_gates(self, given: np.ndarray, fresh: np.ndarray, trace: list, back: np.ndarray) -> None:
         """Update embeddings and gates by the states' gradients, the last step first."""
         h, wh, carried = self.hidden, self.p["wh"], np.zeros_like(back[0])
         gate = np.empty((*given.shape, 3 * h), np.float32)
-        d_wh = np.zeros_like(wh)
+        by_state = np.empty((*given.shape, 3 * h), np.float32)
         for t in range(len(given) - 1, -1, -1):
             state, z, r, new, u = trace[t]
             d = back[t] + carried
             d_new = d * (1 - z) * (1 - new * new)
             d_z = d * (state - new) * z * (1 - z)
             d_r = d_new * u * r * (1 - r)
-            gate[t] = np.concatenate([d_z, d_r, d_new], axis=1)
-            d_u = np.concatenate([d_z, d_r, d_new * r], axis=1)
-            d_wh += state.T @ d_u
-            carried = d * z + d_u @ wh.T
+            own, d_u = gate[t], by_state[t]
+            own[:, :h], own[:, h : 2 * h], own[:, 2 * h :] = d_z, d_r, d_new
+            d_u[:, : 2 * h] = own[:, : 2 * h]
+            np.multiply(d_new, r, out=d_u[:, 2 * h :])
+            carried = d * z
+            carried += d_u @ wh.T
             carried[fresh[t]] = 0
-        ids, inverse = np.unique(given, return_inverse=True)
+        d_wh = np.concatenate([x[0] for x in trace]).T @ by_state.reshape(-1, 3 * h)
         # Gradients of equal ids add up.
-        order = np.argsort(inverse.ravel(), kind="stable")
-        firsts = np.searchsorted(inverse.ravel()[order], np.arange(len(ids)))
+        flat = given.ravel()
+        order = np.argsort(flat.astype(np.uint16) if self.n_words + self.n_single < 1 << 16 else flat, kind="stable")
+        firsts = np.flatnonzero(np.diff(flat[order], prepend=-1))
+        ids = flat[order[firsts]]
         by_id = np.add.reduceat(gate.reshape(-1, 3 * h)[order], firsts)
         d_emb, d_wx = by_id @ self.p["wx"].T, self.p["emb"][ids].T @ by_id
         self._update("emb", d_emb, ids)

@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice, repeat
 from math import ceil
 from zlib import crc32
 
@@ -22,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from casemill.llm.common import cut, sliced
-from casemill.llm.gru import Gru
+from casemill.llm.gru import MOST_LANES, STEPS, TRAIN_LANES, Gru
 
 #: Words of the model's softmax; frequent words that tasks know the counts of; bytes of the longest such word.
 VOCABULARY, FREQUENT, LONGEST = 4096, 65536, 64
@@ -30,10 +31,10 @@ VOCABULARY, FREQUENT, LONGEST = 4096, 65536, 64
 CLASSES = 32
 #: The count model's share of every word, seen or not.
 EXTRA = 0.1
-#: The recurrent weights learn from this share of the training documents, and from so many words beside it.
-SHARE, WORDS = 1 / 8, 2_000_000
 #: Rounds after which the tasks' weights are averaged; words of a task in a round, about; models averaged by one task.
-ROUNDS, TASK_WORDS, FAN = 4, 250_000, 32
+ROUNDS, TASK_WORDS, FAN = 4, 1_000_000, 32
+#: Steps of learning that a task's words are dealt over in a round, as far as lanes allow.
+UPDATES = 100
 #: Distinct words that a counting task holds.
 HELD = 300_000
 
@@ -105,7 +106,7 @@ class Lexicon:
     def read(self, text: str | None) -> tuple[np.ndarray, int, int, float, float, Counter[bytes]]:
         """A text's ids; its words, those known, their base and inside-class scores; and the words to be looked up."""
         words = words_of(text)
-        numbers = np.array([self.numbers.get(w, -1) for w in words])
+        numbers = np.array(list(map(self.numbers.get, words, repeat(-1))))
         found = numbers[numbers >= 0]
         missing = [words[i] for i in np.flatnonzero(numbers < 0).tolist()]
         ids = self.ids[numbers]
@@ -169,38 +170,63 @@ def _averaged(models: DataFrame) -> np.ndarray | None:
     return _mean(held)[1] if held else None
 
 
-def train(docs: DataFrame, share: float = SHARE, words: int = WORDS) -> LanguageModel:
-    """A model of the training documents of docs (doc_id, text): nine tenths, by a hash of doc_id.
+def _counted_words(docs: DataFrame) -> tuple[Lexicon, DataFrame]:
+    """The lexicon of the training documents of docs, and the counts of the words that it lacks."""
+    counts = cut(counted(docs.where(~held_out())), "lm-counts")
+    known, least = lexicon(counts)
+    return known, counts.where((F.col("word") != END) & ((F.col("c") < least) | (F.octet_length("word") > LONGEST)))
+
+
+def _read(docs: DataFrame, known: Lexicon) -> DataFrame:
+    """Every row of docs as numbers, read once for learning and scoring: its ids as 16-bit numbers and what Lexicon.read tells; turn: its round."""
+    shared = docs.sparkSession.sparkContext.broadcast(known.parts())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lex = Lexicon(*shared.value)
+        for batch in sliced(batches):
+            if batch.num_rows:
+                yield _rows(batch, [lex.read(text) for text in batch.column(3).to_pylist()])
+
+    turn = F.pmod(F.xxhash64("doc_id", "text"), F.lit(ROUNDS)).cast("int")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), F.col("text").cast("string").alias("text"))
+    rows = rows.select("doc_id", "held_out", turn.alias("turn"), "text")
+    found = rows.mapInArrow(run, "doc_id long, held_out boolean, turn int, n_tokens long, n_known long, base_score double, inside double, rare array<struct<word: binary, tf: long>>, ids binary")
+    return cut(found.withColumn("at", F.monotonically_increasing_id()), "lm-ids")
 
-    Counts cover all of them. The recurrent weights learn in rounds: tasks go on from the same weights, each over the
-    documents of its partitions, and the mean of what they come to, by words, starts the next round. They learn from a
-    share of the documents, drawn by a hash, that is what `share` says and `words` words more: it grows with the corpus,
-    and a small corpus is learnt from whole. Null texts are empty; no documents give a model that knows the end only.
+
+def _learned(rows: DataFrame, known: Lexicon) -> np.ndarray:
+    """The recurrent weights after every training document of rows.
+
+    They learn in rounds: tasks go on from the same weights, each over the documents of its partitions, and the mean of what
+    they come to, by words, starts the next round. Each document belongs to one round, by a hash.
     """
-    spark = docs.sparkSession
-    docs = docs.where(~held_out()).select("doc_id", F.col("text").cast("string").alias("text"))
-    counts = cut(counted(docs), "lm-counts")
-    known, least = lexicon(counts)
-    rest = counts.where((F.col("word") != END) & ((F.col("c") < least) | (F.octet_length("word") > LONGEST)))
-    part = min(1.0, share + words / max(1, known.n))
-    draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20))
-    tasks = max(1, ceil(part * known.n / ROUNDS / TASK_WORDS))
-    weights, shared = known.model().weights(), spark.sparkContext.broadcast(known.parts())
+    context = rows.sparkSession.sparkContext
+    tasks = max(1, ceil(known.n / ROUNDS / TASK_WORDS))
+    lanes = int(min(MOST_LANES, max(TRAIN_LANES, known.n / ROUNDS / tasks / UPDATES / STEPS)))
+    weights, shared = known.model().weights(), context.broadcast(known.parts())
     for turn in range(ROUNDS):
-        own = docs.where((draw % ROUNDS == turn) & (draw < part * (1 << 20))).select("text").coalesce(tasks)
-        start = spark.sparkContext.broadcast(weights)
+        start = context.broadcast(weights)
 
         def learn(batches: Iterator[pa.RecordBatch], start=start) -> Iterator[pa.RecordBatch]:
-            lex = Lexicon(*shared.value)
-            model = lex.model()
+            model = Lexicon(*shared.value).model()
             model.load(start.value)
-            n = model.train((None, lex.read(text)[0]) for batch in sliced(batches) for text in batch.column(0).to_pylist())
+            n = model.train(((None, np.frombuffer(ids, np.uint16)) for batch in sliced(batches) for ids in batch.column(0).to_pylist()), lanes)
             if n:
                 yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([n], pa.int64()), pa.array([model.weights().tobytes()], pa.binary())], names=["task", "n", "weights"])
 
+        own = rows.where(~F.col("held_out") & (F.col("turn") == turn)).select("ids").coalesce(tasks)
         found = _averaged(own.mapInArrow(learn, "task long, n long, weights binary"))
         weights = weights if found is None else found
-    return LanguageModel(known, rest, weights)
+    return weights
+
+
+def train(docs: DataFrame) -> LanguageModel:
+    """A model of the training documents of docs (doc_id, text): nine tenths, by a hash of doc_id.
+
+    Counts and recurrent weights learn from all of them. Null texts are empty; no documents give a model that knows the end only.
+    """
+    known, rest = _counted_words(docs)
+    return LanguageModel(known, rest, _learned(_read(docs.where(~held_out()), known), known))
 
 
 def score(docs: DataFrame, model: LanguageModel) -> DataFrame:
@@ -210,37 +236,31 @@ def score(docs: DataFrame, model: LanguageModel) -> DataFrame:
     other columns are ignored. Texts are read whole, the state of the network carried to their end. An empty table gives an
     empty result.
     """
-    spark = docs.sparkSession
-    known = model.lexicon
-    shared, weights = spark.sparkContext.broadcast(known.parts()), spark.sparkContext.broadcast(model.weights)
+    return _scored(_read(docs, model.lexicon), model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lex, reading = Lexicon(*shared.value), {}
-        net = lex.model()
-        net.load(weights.value)
 
-        def documents() -> Iterator[tuple[int, np.ndarray]]:
-            for batch in sliced(batches):
-                for doc_id, held, text in zip(*[batch.column(i).to_pylist() for i in range(3)], strict=True):
-                    ids, *rest = lex.read(text)
-                    tag = documents.n = documents.n + 1
-                    reading[tag] = (doc_id, held, *rest)
-                    yield tag, ids
-
-        documents.n = 0
-        done: list[tuple] = []
-        for tag, x in net.scores(documents()):
-            done.append((*reading.pop(tag), x / np.log(10)))
-            if len(done) == 256:
-                yield _rows(done)
-                done = []
-        if done:
-            yield _rows(done)
+def trained_and_scored(docs: DataFrame) -> DataFrame:
+    """score(docs, train(docs)), whose texts are read once for both."""
+    known, rest = _counted_words(docs)
+    rows = _read(docs, known)
+    return _scored(rows, LanguageModel(known, rest, _learned(rows, known)))
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), F.col("text").cast("string").alias("text"))
-    found = rows.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, rare array<struct<word: binary, tf: long>>")
-    found = cut(found.withColumn("at", F.monotonically_increasing_id()), "lm-scores")
-    rare = found.select("at", F.explode("rare").alias("r")).select("at", "r.word", "r.tf")
+
+def _scored(rows: DataFrame, model: LanguageModel) -> DataFrame:
+    context, known = rows.sparkSession.sparkContext, model.lexicon
+    shared, weights = context.broadcast(known.parts()), context.broadcast(model.weights)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        net = Lexicon(*shared.value).model()
+        net.load(weights.value)
+        documents = ((at, np.frombuffer(ids, np.uint16)) for batch in sliced(batches) for at, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+        scores = net.scores(documents)
+        while done := list(islice(scores, 4096)):
+            at, own = zip(*done, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(np.array(own) / np.log(10), pa.float64())], names=["at", "own"])
+
+    own = rows.select("at", "ids").mapInArrow(run, "at long, own double")
+    rare = rows.select("at", F.explode("rare").alias("r")).select("at", "r.word", "r.tf")
     c, tf = F.coalesce("c", F.lit(0)) + F.lit(EXTRA), F.col("tf")
     inside = F.get(F.array(*[F.lit(float(x)) for x in known.class_total()]), (F.crc32(F.substring("word", 1, 2)) % CLASSES).cast("int"))
     looked = rare.join(model.rest, "word", "left").groupBy("at").agg(
@@ -249,19 +269,19 @@ def score(docs: DataFrame, model: LanguageModel) -> DataFrame:
         F.sum(tf * F.log10(c / inside)).alias("more_score"),
     )
     plus = lambda a, b: F.col(a) + F.coalesce(b, F.lit(0))
-    return found.join(looked, "at", "left").select(
+    return rows.drop("rare", "ids").join(own, "at").join(looked, "at", "left").select(
         "doc_id", "held_out", "n_tokens", plus("n_known", "more").alias("n_known"), F.lit(int(known.n)).cast("long").alias("train_tokens"),
-        plus("base_score", "more_base").alias("base_score"), plus("score", "more_score").alias("score"),
+        plus("base_score", "more_base").alias("base_score"), (F.col("inside") + plus("own", "more_score")).alias("score"),
     )
 
 
-def _rows(done: list[tuple]) -> pa.RecordBatch:
-    """Documents (doc_id, held_out, tokens, known, base, inside, rare words, score of the classes) as a batch."""
-    doc_id, held, n, known, base, inside, rare, own = zip(*done, strict=True)
+def _rows(batch: pa.RecordBatch, read: list[tuple]) -> pa.RecordBatch:
+    """A batch's doc_id, held_out and turn with what Lexicon.read told of its texts."""
+    ids, n, known, base, inside, rare = zip(*read, strict=True)
     words = pa.array([w for x in rare for w in x], pa.binary())
     counts = pa.array([k for x in rare for k in x.values()], pa.int64())
     offsets = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in rare])]), pa.int32())
     lists = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([words, counts], names=["word", "tf"]))
-    scores = pa.array(np.add(inside, own), pa.float64())
-    columns = [pa.array(doc_id, pa.int64()), pa.array(held, pa.bool_()), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), scores, lists]
-    return pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "rare"])
+    numbers = pa.array([x.astype(np.uint16).tobytes() for x in ids], pa.binary())
+    columns = [*batch.columns[:3], pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(inside, pa.float64()), lists, numbers]
+    return pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "turn", "n_tokens", "n_known", "base_score", "inside", "rare", "ids"])

@@ -158,3 +158,24 @@ def test_mean_of_many_models(spark, monkeypatch):
     rows = [(i, i + 1, np.full(5, i, np.float32).tobytes()) for i in range(20)]
     got = lm_scoring._averaged(spark.createDataFrame(rows, "task long, n long, weights binary"))
     assert np.allclose(got, sum(i * (i + 1) for i in range(20)) / sum(range(1, 21)))
+
+
+def test_weights_learn_from_every_training_document(spark, monkeypatch):
+    """However large the corpus: the rounds' words together are all training words."""
+    docs = spark.range(9000).selectExpr("id as doc_id", f"repeat('{prose(3, 30)} ', 10) as text")
+    learnt, averaged = [], lm_scoring._averaged
+
+    def noted(models):
+        models = lm_scoring.cut(models, "noted")
+        learnt.append(models.agg({"n": "sum"}).first()[0] or 0)
+        return averaged(models)
+
+    monkeypatch.setattr(lm_scoring, "_averaged", noted)
+    model = lm_scoring.train(docs)
+    assert sum(learnt) == model.lexicon.n > 2_400_000
+
+
+def test_read_once_for_both(spark):
+    docs = documents(spark, [prose(i, 40) for i in range(50)])
+    both = {x["doc_id"]: x for x in lm_scoring.trained_and_scored(docs).collect()}
+    _checked(both.values(), [(i, prose(i, 40)) for i in range(50)])
