@@ -28,6 +28,10 @@ FIFTHS = 4
 BANDS = 24
 BAND_ROWS = 4
 
+#: Classes of shingles, by 64 in a long, whose parities rule out pairs of texts before these are looked at.
+PARITIES = 1024
+_PARITY = [f"odd{i}" for i in range(PARITIES // 64)]
+
 _FACTORS = np.random.Generator(np.random.PCG64(SEED)).integers(1, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -241,6 +245,23 @@ def bands(text: str | None) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(row.tobytes(), i) for i, row in enumerate(rows)], np.uint64).view(np.int64)
 
 
+def parities(text: str | None) -> tuple[int, np.ndarray]:
+    """How many distinct shingles a text has, and whether they are odd in number, by classes, one bit each."""
+    found = shingles(text)
+    odd = np.bincount((found % np.uint64(PARITIES)).astype(np.int64), minlength=PARITIES) & 1
+    return len(found), np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def _may_be_alike() -> Column:
+    """Whether numbers and parities of shingles allow two texts (other's columns end in _b) to be alike.
+
+    A shingle that one text has and the other lacks changes one bit, and alike texts have a ninth of their shingles of these at most.
+    """
+    apart = sum((F.bit_count(F.col(x).bitwiseXOR(F.col(f"{x}_b"))) for x in _PARITY), F.lit(0))
+    sized = 5 * F.least("n", "n_b") >= FIFTHS * F.greatest("n", "n_b")
+    return sized & ((5 + FIFTHS) * apart <= (5 - FIFTHS) * (F.col("n") + F.col("n_b")))
+
+
 def alike(a: str | None, b: str | None) -> bool:
     """Whether two texts' shingles have a Jaccard similarity of FIFTHS / 5 or more."""
     x, y = shingles(a), shingles(b)
@@ -253,13 +274,18 @@ def copies(rows: DataFrame, known: DataFrame) -> DataFrame:
 
     Of the texts that share a band each is first compared with one, the band's centre, so a large group of near copies
     costs a comparison a text and band. Only texts whose component isn't the centre's are then compared with the
-    band's other texts of other components.
+    band's other texts of other components, as far as their sketches, which are bounds, allow them to be alike.
     """
 
     def banded(batch: pa.RecordBatch) -> pa.RecordBatch:
         keys = [bands(x) for x in batch.column(1).to_pylist()]
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.list_(pa.int64()))], names=["at", "keys"])
 
+    def sketched(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = [parities(x) for x in batch.column(1).to_pylist()]
+        odd = np.array([x for _, x in found], np.int64).reshape(-1, len(_PARITY))
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([n for n, _ in found], pa.int64()), *[pa.array(x) for x in odd.T]], names=["at", "n", *_PARITY])
+
     def verified(batch: pa.RecordBatch) -> pa.RecordBatch:
         ok = [alike(x, y) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
@@ -282,9 +308,13 @@ def copies(rows: DataFrame, known: DataFrame) -> DataFrame:
     placed = met.where(F.col("m") > 2).join(top("root", "t"), "root", "left").join(top("rc", "tc"), "rc", "left")
     placed = cut(placed.select("key", "at", "root", F.coalesce("t", "root").alias("t"), F.coalesce("tc", "rc").alias("tc")), "copy-bands")
     forget(met)
-    other = placed.select("key", F.col("at").alias("b"), F.col("root").alias("rb"), F.col("t").alias("tb"))
-    apart = placed.where(F.col("t") != F.col("tc")).select("key", F.col("at").alias("a"), F.col("root").alias("ra"), F.col("t").alias("ta"))
-    more = apart.join(other, "key").where(F.col("ta") != F.col("tb")).select("a", "b", "ra", "rb").distinct()
+    # Of a band whose texts are all of the centre's component nothing is left to compare.
+    left = placed.join(placed.where(F.col("t") != F.col("tc")).select("key").distinct(), "key", "left_semi")
+    known = map_batches(rows.join(left.select("at").distinct(), "at", "left_semi").select("at", "text"), sketched, ", ".join(f"{x} long" for x in ("at", "n", *_PARITY)))
+    left = cut(left.join(known, "at"), "copy-bands")
+    other = left.select("key", F.col("at").alias("b"), F.col("root").alias("rb"), F.col("t").alias("tb"), *[F.col(x).alias(f"{x}_b") for x in ("n", *_PARITY)])
+    apart = left.where(F.col("t") != F.col("tc")).select("key", F.col("at").alias("a"), F.col("root").alias("ra"), F.col("t").alias("ta"), "n", *_PARITY)
+    more = apart.join(other, "key").where((F.col("ta") != F.col("tb")) & _may_be_alike()).select("a", "b", "ra", "rb").distinct()
     return first.union(alike_roots(more))
 
 

@@ -47,3 +47,18 @@ def test_copies_through_centres(spark):
     known = rows.select("at", (rows["at"] + 1000).alias("root"))
     got = {x["node"] - 1000: x["root"] - 1000 for x in S.components(S.copies(rows, known), "t").collect()}
     assert [got.get(i, i) for i in range(n)] == root and len(near) > 20
+
+
+def test_sketches_keep_alike_texts_and_few_others(spark):
+    """Sizes and parities let every pair of 0.8 through, and next to none of 0.5, though they may share bands."""
+    draw, texts, names = np.random.Generator(np.random.PCG64(5)), [], [f"w{i}" for i in range(5000)]
+    base = list(draw.choice(names, 400))
+    for i in range(40):  # ends of their own, of 10 to 400 words
+        texts.append(" ".join([*base, *draw.choice(names, 10 * (i + 1))]))
+    found = [S.parities(x) for x in texts]
+    rows = spark.createDataFrame([(i, n, *map(int, odd)) for i, (n, odd) in enumerate(found)], ["at", "n", *S._PARITY])
+    other = rows.select(*[rows[c].alias(f"{c}_b") for c in rows.columns])
+    got = {tuple(x) for x in rows.join(other, rows["at"] < other["at_b"]).where(S._may_be_alike()).select("at", "at_b").collect()}
+    wanted = {(i, j) for j in range(40) for i in range(j) if S.alike(texts[i], texts[j])}
+    assert wanted and wanted <= got and len(got) < 2 * len(wanted) + 10
+    assert S.parities(None)[0] == 0 and not S.parities("")[1].any()
